@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", where=
 def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns of every row with its score (0 to 1) and prediction (1 if score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         m = shared.value
