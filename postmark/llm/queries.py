@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality
 
 QUERIES = {
+    "op2_license_scan": licenses.query,
     "op7_quality_classifier": quality.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL}
