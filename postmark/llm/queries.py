@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import bpe, licenses, quality
 
 QUERIES = {
     "op2_license_scan": licenses.query,
+    "op4_bpe_codec": bpe.query,
     "op7_quality_classifier": quality.query,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL}
