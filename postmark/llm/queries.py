@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality
+from . import bpe, licenses, quality, tokenfile
 
 QUERIES = {
     "op2_license_scan": licenses.query,
     "op4_bpe_codec": bpe.query,
+    "op5_token_files": tokenfile.query,
     "op7_quality_classifier": quality.query,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL}
