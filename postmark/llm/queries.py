@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality, tokenfile
+from . import bpe, decontamination, licenses, quality, tokenfile
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op2_license_scan": licenses.query,
     "op4_bpe_codec": bpe.query,
     "op5_token_files": tokenfile.query,
