@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, quality, tokenfile
+from . import bpe, decontamination, licenses, neardup, quality, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_bpe_codec": bpe.query,
     "op5_token_files": tokenfile.query,
     "op7_quality_classifier": quality.query,
+    "op9_near_duplicates": neardup.query,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL}
