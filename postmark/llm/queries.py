@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, neardup, quality, tokenfile
+from . import bpe, decontamination, licenses, linededup, neardup, quality, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_license_scan": licenses.query,
     "op4_bpe_codec": bpe.query,
     "op5_token_files": tokenfile.query,
+    "op6_line_dedup": linededup.query,
     "op7_quality_classifier": quality.query,
     "op9_near_duplicates": neardup.query,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL}
