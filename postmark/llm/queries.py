@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, linededup, neardup, quality, tokenfile
+from . import bpe, decontamination, html, licenses, linededup, neardup, quality, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_line_dedup": linededup.query,
     "op7_quality_classifier": quality.query,
     "op9_near_duplicates": neardup.query,
+    "op10_html_extraction": html.query,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL}
