@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html, licenses, linededup, neardup, quality, tokenfile
+from . import bpe, decontamination, html, licenses, linededup, neardup, pii, quality, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_license_scan": licenses.query,
+    "op3_personal_data": pii.query,
     "op4_bpe_codec": bpe.query,
     "op5_token_files": tokenfile.query,
     "op6_line_dedup": linededup.query,
