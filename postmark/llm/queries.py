@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html, licenses, linededup, neardup, pii, quality, tokenfile
+from . import ann, bpe, decontamination, html, licenses, linededup, neardup, pii, quality, tokenfile
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": tokenfile.query,
     "op6_line_dedup": linededup.query,
     "op7_quality_classifier": quality.query,
+    "op8_nearest_vectors": ann.query,
     "op9_near_duplicates": neardup.query,
     "op10_html_extraction": html.query,
 }
