@@ -130,30 +130,30 @@ def removed_lines(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataF
     return store(lost.groupBy("d", "r").agg(F.collect_set("line_no").alias("gone")), folder, "lost")
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, folder: str | None = None) -> DataFrame:
-    """Every row with its columns, later similar lines taken out of text, and n_lines and n_removed beside them."""
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, folder: str | None = None, report: bool = True) -> DataFrame:
+    """Every row with its columns, later similar lines taken out of text; with ``report``, n_lines and n_removed beside them (in place of any of that name)."""
     folder = folder or shared_dir(docs.sparkSession)
     lost = removed_lines(docs, folder, percent)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(*docs.columns, key.alias("__d"), F.xxhash64("text").alias("__r"))
-    rows = rows.join(lost.select(F.col("d").alias("__d"), F.col("r").alias("__r"), F.col("gone").alias("__gone")), ["__d", "__r"], "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    return rows.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("d"), F.xxhash64("text").alias("r")).join(lost, ["d", "r"], "left")
+    lines = F.split("row.text", "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    counts = {
+        "n_lines": F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
+    }
+    kept = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if not (report and c in counts)]
+    return rows.select(*kept, *(v.alias(k) for k, v in counts.items() if report))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document with what is left of its text."""
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the same documents with later similar lines taken out; n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, report=False)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

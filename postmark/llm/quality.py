@@ -250,8 +250,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def accepted(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in K.slices(batches):
+            yield b.filter(pa.array(shared.value.score(features(*K.utf8(b.column("text")))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents below the threshold go."""
-    model = train(docs, read(spark, sf_dir, "labels"), where=_fold() != 0)
-    cols = ("doc_id", "text", "lang", "source", "n_chars")
-    return score(docs, model, keep=cols).where("predicted = 1").select(*cols)
+    return accepted(docs, train(docs, read(spark, sf_dir, "labels"), where=_fold() != 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, bpe, decontamination, html, licenses, linededup, neardup, pii, quality, tokenfile
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_nearest_vectors": ann.query,
     "op9_near_duplicates": neardup.query,
     "op10_html_extraction": html.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL}
