@@ -1,14 +1,711 @@
-"""The queries of the address engine, each with its DuckDB twin where SQL can express it."""
+"""The queries of the address engine, each with its DuckDB twin where SQL can express it.
+
+Every query runs over whole tables; the address world of ``world`` gives the benchmark tables their addresses.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from postmark.functions import geo, stats, text
+from postmark.operators import evidence, metrics, numbers, recall, spatial
+from postmark.plans.world import SQL as WORLD_SQL
+from postmark.plans.world import World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(oracle: str | None = None, with_world: bool = True):
+    """Registers a function of the world as a query; ``oracle`` is the twin's SQL, which may begin with further CTEs (", x AS (...) SELECT ...")."""
+
+    def register(f: Callable[[World], DataFrame]):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(World(spark, sf_dir))
+        if oracle is not None:
+            ORACLE_SQL[name] = f"WITH RECURSIVE {WORLD_SQL}\n{oracle.strip()}" if with_world else oracle.strip()
+        return f
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return QUERIES["resolve_inputs"](spark, sf_dir)
+
+
+# ---- scans, projections, sampling ----------------------------------------------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity BETWEEN 10 AND 20", with_world=False)
+def scan_pushdown(w):
+    return w.table("lineitem").where("l_shipdate >= timestamp'1998-01-01' and l_quantity between 10 and 20").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("SELECT place_id, name, ('0x' || substr(sha1('p' || place_id), 1, 8))::BIGINT % 5 = 0 AS held_out FROM place")
+def hold_out_split(w):
+    share = F.conv(F.substring(F.sha1(F.concat(F.lit("p"), "place_id")), 1, 8), 16, 10).cast("long") % 5
+    return w.place.select("place_id", "name", (share == 0).alias("held_out"))
+
+
+@query("SELECT street_id, name, ('0x' || substr(md5(name), 1, 6))::BIGINT % 10 < 7 AS train, ('0x' || md5(street_id::VARCHAR)[1])::BIGINT < 8 AS dev FROM street")
+def street_split(w):
+    part = lambda c, n: F.conv(F.substring(F.md5(c), 1, n), 16, 10).cast("long")
+    return w.street.select("street_id", "name", (part(F.col("name"), 6) % 10 < 7).alias("train"), (part(F.col("street_id").cast("string"), 1) < 8).alias("dev"))
+
+
+@query("SELECT point_id, blk, postal FROM point ORDER BY md5(point_id::VARCHAR), point_id LIMIT 100")
+def hash_order_sample(w):
+    return w.point.orderBy(F.md5(F.col("point_id").cast("string")), "point_id").limit(100).select("point_id", "blk", "postal")
+
+
+@query("""
+, s AS (SELECT street_id, name, 'part' AS origin FROM street UNION ALL SELECT place_id, name, 'supplier' FROM place UNION ALL SELECT c_custkey, upper(c_name), 'customer' FROM customer)
+SELECT origin, count(*) AS n, count(DISTINCT name) AS names FROM s GROUP BY origin""")
+def union_sources(w):
+    s = w.street.select("street_id", "name").withColumn("origin", F.lit("part"))
+    p = w.place.select(F.col("place_id").alias("street_id"), "name").withColumn("origin", F.lit("supplier"))
+    c = w.table("customer").select(F.col("c_custkey").alias("street_id"), F.upper("c_name").alias("name")).withColumn("origin", F.lit("customer"))
+    return s.unionByName(p).unionByName(c).groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
+@query("""
+SELECT blk, name AS road, postal, count(*) AS n, min(lat) AS lat, coalesce(array_to_string(list_sort(list_distinct(list(building) FILTER (WHERE building IS NOT NULL))), '|'), '') AS buildings
+FROM point WHERE blk <> '' AND length(postal) = 6 GROUP BY blk, name, postal""")
+def dump_to_entities(w):
+    g = w.point.where("blk <> '' and length(postal) = 6").groupBy("blk", F.col("name").alias("road"), "postal")
+    return g.agg(F.count("*").alias("n"), F.min("lat").alias("lat"), F.array_join(F.array_sort(F.collect_set("building")), "|").alias("buildings"))
+
+
+# ---- normalisation -------------------------------------------------------------------------------------------------
+_KEY = "array_to_string(list_transform(string_split(name, ' '), lambda t: CASE t WHEN 'STREET' THEN 'ST' WHEN 'ROAD' THEN 'RD' WHEN 'AVENUE' THEN 'AVE' WHEN 'LANE' THEN 'LN' WHEN 'GREEN' THEN 'GRN' ELSE t END), ' ')"
+
+
+@query(f"SELECT street_id, {_KEY} AS key FROM street")
+def match_key(w):
+    return w.street.select("street_id", text.match_key("name").alias("key"))
+
+
+@query(f"""
+, k AS (SELECT street_id, {_KEY} || ' ' || (street_id % 9) || CASE WHEN street_id % 2 = 0 THEN 'A' ELSE '' END AS key FROM street)
+SELECT street_id, array_to_string(list_filter(string_split(key, ' '), lambda t: NOT regexp_matches(t, '[0-9]')), ' ') AS alpha,
+  array_to_string(list_filter(string_split(key, ' '), lambda t: regexp_matches(t, '[0-9]')), ' ') AS nums FROM k""")
+def split_alpha_num(w):
+    key = F.concat_ws(" ", text.match_key("name"), F.concat((F.col("street_id") % 9).cast("string"), F.when(F.col("street_id") % 2 == 0, "A").otherwise("")))
+    return w.street.select("street_id", text.alpha_part(key).alias("alpha"), F.array_join(text.number_part(key), " ").alias("nums"))
+
+
+@query("""
+SELECT point_id, blk || ' ' || array_to_string(list_transform(string_split(lower(name), ' '), lambda t: upper(t[1]) || t[2:]), ' ') AS title FROM point""")
+def title_case(w):
+    return w.point.select("point_id", text.title_case(F.concat_ws(" ", "blk", "name")).alias("title"))
+
+
+@query("""
+, h AS (SELECT point_id, blk, lpad((street_id % 999)::VARCHAR, 3, '0') || lpad(regexp_extract(blk, '[0-9]+'), 3, '0') AS code FROM point)
+SELECT point_id, regexp_matches(blk, '^[0-9]{1,3}[A-H]?$') AND substr(code, 4) = lpad(regexp_extract(blk, '[0-9]+'), 3, '0')
+  AND substr(code, 3, 1) = CASE WHEN regexp_matches(blk, '[A-H]$') THEN (ascii(right(blk, 1)) - 64)::VARCHAR ELSE '0' END AS public_housing FROM h""")
+def public_housing_rule(w):
+    code = F.concat(F.lpad((F.col("street_id") % 999).cast("string"), 3, "0"), F.lpad(F.regexp_extract("blk", "[0-9]+", 0), 3, "0"))
+    return w.point.select("point_id", text.is_public_housing(F.col("blk"), code).alias("public_housing"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'arabic' WHEN regexp_matches(text, '[ก-๿]') THEN 'thai' WHEN regexp_matches(text, '[぀-ヿ㐀-鿿]') THEN 'cjk'
+  WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'cyrillic' ELSE 'latin' END AS script FROM conversations""", with_world=False)
+def script_detection(w):
+    return w.table("conversations").select("conv_id", "turn", text.script_of(F.col("text")).alias("script"))
+
+
+@query("""
+, m AS (SELECT point_id, postal, ['GB','IE','CA','BR','PT','NL','SE','CZ','SK','AU'][(point_id % 10)::INT + 1] AS market FROM point)
+SELECT point_id, market, CASE WHEN market = 'GB' THEN substr(postal, 1, 4) WHEN market IN ('IE','CA','SE','CZ','SK') THEN substr(postal, 1, 3) WHEN market = 'BR' THEN substr(postal, 1, 5)
+  WHEN market IN ('PT','NL') THEN substr(postal, 1, 4) END AS prefix FROM m""")
+def postcode_prefix(w):
+    market = F.get(F.array(*(F.lit(x) for x in ("GB", "IE", "CA", "BR", "PT", "NL", "SE", "CZ", "SK", "AU"))), (F.col("point_id") % 10).cast("int"))
+    return w.point.select("point_id", market.alias("market"), text.postcode_prefix(market, F.col("postal")).alias("prefix"))
+
+
+@query("""
+, v AS (SELECT point_id, number || '-' || (number + 4) AS shown, number AS a, number + 4 AS b FROM point)
+SELECT point_id, unnest([shown, a::VARCHAR, b::VARCHAR]) AS spelling, unnest([0, 1, 2]) AS preference FROM v""")
+def number_variants(w):
+    shown = F.concat_ws("-", F.col("number").cast("string"), (F.col("number") + 4).cast("string"))
+    return w.point.select("point_id", F.posexplode(F.concat(F.array(shown), F.split(shown, "-"))).alias("preference", "spelling")).select("point_id", "spelling", "preference")
+
+
+@query("SELECT place_id, least(30000.0, greatest(8000.0, 8000 + 4000 * log10(greatest(population, 1) / 1000.0)))::DOUBLE AS radius FROM place")
+def town_radius(w):
+    return w.place.select("place_id", geo.town_radius(F.col("population")).alias("radius"))
+
+
+@query("""
+SELECT point_id, round(lat - 500 / 111320.0, 8) AS south, round(lng + 500 / 111320.0 / greatest(0.2, cos(radians(lat))), 8) AS east FROM point""")
+def bounding_box(w):
+    b = geo.bounds(F.col("lat"), F.col("lng"), 500)
+    return w.point.select("point_id", F.round(b.south, 8).alias("south"), F.round(b.east, 8).alias("east"))
+
+
+_D = "'23456789CFGHJMPQRVWX'"
+
+
+@query(f"""
+, c AS (SELECT point_id, floor((lat + 90) * 8000)::BIGINT AS y, floor((lng + 180) * 8000)::BIGINT AS x FROM point)
+SELECT point_id, substr({_D}, (y // 160000 % 20 + 1)::INT, 1) || substr({_D}, (x // 160000 % 20 + 1)::INT, 1) || substr({_D}, (y // 8000 % 20 + 1)::INT, 1) || substr({_D}, (x // 8000 % 20 + 1)::INT, 1)
+  || substr({_D}, (y // 400 % 20 + 1)::INT, 1) || substr({_D}, (x // 400 % 20 + 1)::INT, 1) || substr({_D}, (y // 20 % 20 + 1)::INT, 1) || substr({_D}, (x // 20 % 20 + 1)::INT, 1)
+  || '+' || substr({_D}, (y % 20 + 1)::INT, 1) || substr({_D}, (x % 20 + 1)::INT, 1) AS code FROM c""")
+def plus_code_encode(w):
+    return w.point.select("point_id", geo.encode_plus_code(F.col("lat"), F.col("lng")).alias("code"))
+
+
+@query("SELECT point_id, round((floor((lat + 90) * 8000) + 0.5) / 8000 - 90, 7) AS lat, round((floor((lng + 180) * 8000) + 0.5) / 8000 - 180, 7) AS lng FROM point")
+def plus_code_round_trip(w):
+    p = geo.decode_plus_code(geo.encode_plus_code(F.col("lat"), F.col("lng")))
+    return w.point.select("point_id", F.round(p.lat, 7).alias("lat"), F.round(p.lng, 7).alias("lng"))
+
+
+# ---- noise ---------------------------------------------------------------------------------------------------------
+@query("""
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+'))::BIGINT AS emails, len(regexp_extract_all(text, '\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}'))::BIGINT AS phones,
+  regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+|\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}', ' , ', 'g') AS kept FROM documents""", with_world=False)
+def noise_phone_email(w):
+    mail, phone = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    return w.table("documents").select("doc_id", count(mail).alias("emails"), count(phone).alias("phones"), F.regexp_replace("text", f"{mail}|{phone}", " , ").alias("kept"))
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS plain FROM pages""", with_world=False)
+def html_strip(w):
+    c = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
+    return w.table("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("plain"))
+
+
+@query("""
+SELECT source, avg(CASE WHEN regexp_matches(text, '@') THEN 1.0 ELSE 0.0 END) AS mail_rate, avg(CASE WHEN regexp_matches(text, '[0-9]{6}') THEN 1.0 ELSE 0.0 END) AS code_rate,
+  avg(CASE WHEN regexp_matches(text, '\\|') THEN 1.0 ELSE 0.0 END) AS bar_rate, count(*) AS n FROM documents GROUP BY source""", with_world=False)
+def noise_rates(w):
+    return w.table("documents").groupBy("source").agg(stats.rate(F.col("text").rlike("@")).alias("mail_rate"), stats.rate(F.col("text").rlike("[0-9]{6}")).alias("code_rate"), stats.rate(F.col("text").rlike(r"\|")).alias("bar_rate"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT lang, count(*) AS n, avg(len(string_split(text, ' '))::DOUBLE) AS mean_words, avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END) AS number_rate FROM documents GROUP BY lang""", with_world=False)
+def country_profile(w):
+    return w.table("documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.size(F.split("text", " ")).cast("double")).alias("mean_words"), stats.rate(F.col("text").rlike("[0-9]")).alias("number_rate"))
+
+
+# ---- parsing -------------------------------------------------------------------------------------------------------
+def _postal(c):
+    six = F.regexp_extract_all(F.concat(F.lit(" "), c, F.lit(" ")), F.lit("(?<![0-9])([0-9]{6})(?![0-9])"), F.lit(1))
+    five = F.regexp_extract_all(F.concat(F.lit(" "), c, F.lit(" ")), F.lit("(?<![0-9#-])([0-9]{5})(?![0-9-])"), F.lit(1))
+    return F.coalesce(F.try_element_at(six, F.lit(-1)), F.concat(F.lit("0"), F.try_element_at(five, F.lit(-1))))
+
+
+@query("""
+, c AS (SELECT input_id, regexp_extract_all(' ' || replace(replace(text, ' ', '  '), '(', ' (') || ' ', '[^0-9]([0-9]{6})[^0-9]', 1) AS six,
+  regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^0-9#-]([0-9]{5})[^0-9-]', 1) AS five FROM input)
+SELECT input_id, CASE WHEN len(six) > 0 THEN six[-1] WHEN len(five) > 0 THEN '0' || five[-1] END AS postal FROM c""")
+def postcode_extract(w):
+    return w.input.select("input_id", _postal(F.col("text")).alias("postal"))
+
+
+@query("SELECT input_id, nullif(regexp_extract(text, '#([0-9]{1,3})-([0-9]{1,5})', 1), '') AS floor, nullif(regexp_extract(text, '#([0-9]{1,3})-([0-9]{1,5})', 2), '') AS unit FROM input")
+def unit_extract(w):
+    part = lambda k: F.nullif(F.regexp_extract("text", "#([0-9]{1,3})-([0-9]{1,5})", k), F.lit(""))
+    return w.input.select("input_id", part(1).alias("floor"), part(2).alias("unit"))
+
+
+_WORDS = "list_filter(string_split(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def _words(c):
+    return F.filter(F.split(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "), " "), lambda t: t != "")
+
+
+_SPANS = f"""
+, t AS (SELECT input_id, {_WORDS} AS ws FROM input), i AS (SELECT input_id, ws, unnest(range(0, len(ws))) AS s FROM t),
+j AS (SELECT input_id, ws, s, unnest(range(s + 1, least(len(ws), s + 7) + 1)) AS e FROM i),
+span AS (SELECT input_id, s, e, array_to_string(ws[s + 1:e], ' ') AS span FROM j)"""
+
+
+@query(f"{_SPANS} SELECT input_id, count(*) AS n, max(e - s)::INT AS longest, max(span) AS last FROM span GROUP BY input_id")
+def span_enumeration(w):
+    s = w.input.select("input_id", F.explode(recall.spans(_words(F.col("text")))).alias("s"))
+    return s.groupBy("input_id").agg(F.count("*").alias("n"), F.max(F.col("s.end") - F.col("s.start")).alias("longest"), F.max("s.span").alias("last"))
+
+
+@query(f"""{_SPANS}, hit AS (SELECT DISTINCT input_id, s, e, span FROM span JOIN street ON span = name),
+r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY e - s DESC, s) AS r FROM hit)
+SELECT input_id, s::INT AS s, e::INT AS e, span FROM r WHERE r = 1""")
+def longest_street_span(w):
+    s = w.input.select("input_id", F.explode(recall.spans(_words(F.col("text")))).alias("x")).select("input_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"), "x.span")
+    hit = s.join(w.street.select(F.col("name").alias("span")).distinct(), "span")
+    best = hit.groupBy("input_id").agg(F.max_by(F.struct("s", "e", "span"), F.struct(F.col("e") - F.col("s"), -F.col("s"))).alias("b"))
+    return best.select("input_id", "b.s", "b.e", "b.span")
+
+
+# ---- joins ---------------------------------------------------------------------------------------------------------
+@query("SELECT input_id, count(*) AS hits, min(point_id) AS first FROM input JOIN point ON truth_postal = postal GROUP BY input_id")
+def postcode_join(w):
+    return w.input.join(w.point, F.col("truth_postal") == F.col("postal")).groupBy("input_id").agg(F.count("*").alias("hits"), F.min("point_id").alias("first"))
+
+
+@query("SELECT i.input_id, count(*) AS hits, min(p.point_id) AS first FROM input AS i JOIN point AS p ON p.blk = i.number::VARCHAR AND p.name = i.name GROUP BY i.input_id")
+def block_road_join(w):
+    i = w.input.select("input_id", F.col("number").cast("string").alias("blk"), "name")
+    return i.join(w.point.select("blk", "name", "point_id"), ["blk", "name"]).groupBy("input_id").agg(F.count("*").alias("hits"), F.min("point_id").alias("first"))
+
+
+@query("""
+, b AS (SELECT DISTINCT building AS holder, unnest(string_split(building, ' ')) AS word FROM point WHERE building IS NOT NULL),
+q AS (SELECT DISTINCT 'TOWER ' || string_split(name, ' ')[1] AS probe FROM street), p AS (SELECT probe, unnest(list_distinct(string_split(probe, ' '))) AS word FROM q)
+SELECT probe, holder FROM p JOIN (SELECT DISTINCT * FROM b) AS b USING (word) GROUP BY probe, holder HAVING count(*) = 2""")
+def building_words_join(w):
+    b = w.point.where("building is not null").select(F.col("building").alias("holder_id"), F.explode(F.split("building", " ")).alias("word"))
+    p = w.street.select(F.concat(F.lit("TOWER "), F.split("name", " ")[0]).alias("probe_id")).distinct().withColumn("word", F.explode(F.split("probe_id", " ")))
+    return recall.containing_all(p, b).select(F.col("probe_id").alias("probe"), F.col("holder_id").alias("holder"))
+
+
+@query("SELECT street_id, name FROM street WHERE street_id IN (SELECT street_id FROM input)")
+def known_segment_semi(w):
+    return w.street.join(w.input.select("street_id").distinct(), "street_id", "left_semi").select("street_id", "name")
+
+
+@query("SELECT point_id, blk FROM point WHERE NOT EXISTS (SELECT 1 FROM input WHERE input.street_id = point.street_id AND input.number = point.number)")
+def missing_official_anti(w):
+    return w.point.join(w.input.select("street_id", "number").distinct(), ["street_id", "number"], "left_anti").select("point_id", "blk")
+
+
+@query("""
+, v AS (SELECT w AS fixed, count(*) AS freq FROM (SELECT unnest(string_split(name, ' ')) AS w FROM street) GROUP BY w),
+t AS (SELECT DISTINCT substr(w, 1, 2) || substr(w, 4) AS word FROM (SELECT unnest(string_split(name, ' ')) AS w FROM street) WHERE length(w) >= 5),
+r AS (SELECT word, fixed, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, fixed), freq DESC, fixed) AS r FROM t, v WHERE levenshtein(word, fixed) <= CASE WHEN length(word) <= 5 THEN 1 ELSE 2 END)
+SELECT word, fixed FROM r WHERE r = 1""")
+def spelling_fix(w):
+    words = w.street.select(F.explode(F.split("name", " ")).alias("word"))
+    typed = words.where("length(word) >= 5").select(F.concat(F.substring("word", 1, 2), F.expr("substr(word, 4)")).alias("word")).distinct()
+    return recall.nearest_words(typed, words.groupBy("word").agg(F.count("*").alias("freq")))
+
+
+@query("""
+, k AS (SELECT DISTINCT name AS key FROM street), q AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5) AS query FROM street),
+g AS (SELECT DISTINCT key, substr('  ' || key || ' ', i::INT, 3) AS gram FROM (SELECT key, unnest(range(1, length(key) + 2)) AS i FROM k)),
+h AS (SELECT DISTINCT query, substr('  ' || query || ' ', i::INT, 3) AS gram FROM (SELECT query, unnest(range(1, length(query) + 2)) AS i FROM q)),
+d AS (SELECT gram, count(*) > (SELECT greatest(2000, count(*) * 0.05) FROM k) AS common FROM g GROUP BY gram),
+o AS (SELECT query, gram, common, bool_and(common) OVER (PARTITION BY query) AS alone FROM h JOIN d USING (gram)),
+s AS (SELECT query, key, count(*) AS shared FROM o JOIN g USING (gram) WHERE NOT common OR alone GROUP BY query, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, key) AS r FROM s)
+SELECT query, key, shared FROM r WHERE r <= 5""")
+def trigram_top_keys(w):
+    q = w.street.select(F.concat(F.substring("name", 1, 3), F.expr("substr(name, 5)")).alias("query"))
+    return recall.trigram_candidates(q, w.street.select(F.col("name").alias("key")), top=5)
+
+
+_HAVERSINE = "2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
+
+
+@query(f"""
+, d AS (SELECT s.street_id, p.place_id, {_HAVERSINE.format(a="s.", b="p.")} AS metres FROM street AS s JOIN place AS p ON abs(s.lat - p.lat) < 0.01 AND abs(s.lng - p.lng) < 0.01)
+SELECT street_id, place_id, round(metres, 3) AS metres FROM d WHERE metres <= 800""")
+def within_distance(w):
+    p = w.place.select("place_id", F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return spatial.within(w.street.select("street_id", "lat", "lng"), p, 800, 0.01).select("street_id", "place_id", F.round("metres", 3).alias("metres"))
+
+
+@query(f"""
+, d AS (SELECT s.street_id, p.place_id, {_HAVERSINE.format(a="s.", b="p.")} AS metres FROM street AS s JOIN place AS p ON abs(s.lat - p.lat) < 0.03 AND abs(s.lng - p.lng) < 0.03)
+SELECT street_id, arg_min(place_id, (metres, place_id)) AS place_id FROM d WHERE metres <= 2000 GROUP BY street_id""")
+def nearest_place(w):
+    p = w.place.select("place_id", F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    near = spatial.within(w.street.select("street_id", "lat", "lng"), p, 2000, 0.02)
+    return near.groupBy("street_id").agg(F.min_by("place_id", F.struct("metres", "place_id")).alias("place_id"))
+
+
+@query("""
+, q AS (SELECT a.area_id, 1.0 + a.area_id / 60.0 AS y, 103.0 + (a.area_id * 7 % 25) / 60.0 AS x FROM area AS a)
+SELECT q.area_id, street_id FROM q JOIN street AS s ON abs(s.lat - y) + abs(s.lng - x) < 0.05 WHERE abs(abs(s.lat - y) + abs(s.lng - x) - 0.05) > 1e-9""")
+def point_in_polygon(w):
+    y, x = 1.0 + F.col("area_id") / 60.0, 103.0 + (F.col("area_id") * 7 % 25) / 60.0
+    r = 0.05
+    ring = F.array(*(F.struct((y + dy).alias("lat"), (x + dx).alias("lng")) for dy, dx in ((r, 0), (0, r), (-r, 0), (0, -r), (r, 0))))
+    a = w.area.select("area_id", y.alias("y"), x.alias("x"), ring.alias("ring"))
+    # an equi-join on the cells that the polygon's box meets, then the exact test
+    size = 0.1
+    a = a.withColumn("cell", F.explode(geo.neighbours(geo.cell(F.col("y"), F.col("x"), size))))
+    s = w.street.withColumn("cell", geo.cell(F.col("lat"), F.col("lng"), size))
+    edge = F.abs(F.abs(F.col("lat") - F.col("y")) + F.abs(F.col("lng") - F.col("x")) - r) > 1e-9
+    return a.join(s, "cell").where(spatial.inside(F.col("lat"), F.col("lng"), F.col("ring")) & edge).select(a.area_id, "street_id")
+
+
+@query("""
+, p AS (SELECT input_id AS id, street_id, number + 1 AS number FROM input), o AS (SELECT unnest([2,-2,4,-4,6,-6,1,-1,3,-3,5,-5]) AS o, unnest(range(12)) AS rank),
+c AS (SELECT id, p.street_id, p.number, t.number AS found, rank FROM p, o JOIN (SELECT DISTINCT street_id, number FROM point) AS t ON t.street_id = p.street_id AND t.number = p.number + o.o)
+SELECT id, street_id, number, arg_min(found, rank) AS found FROM c GROUP BY id, street_id, number""")
+def nearest_number(w):
+    return numbers.nearest_number(w.input.select(F.col("input_id").alias("id"), "street_id", (F.col("number") + 1).alias("number")), w.point)
+
+
+@query("""
+, p AS (SELECT input_id AS id, street_id, number FROM input),
+l AS (SELECT id, max(t.number) AS lo FROM p JOIN point AS t ON t.street_id = p.street_id AND t.number < p.number AND t.number % 2 = p.number % 2 GROUP BY id),
+h AS (SELECT id, min(t.number) AS hi FROM p JOIN point AS t ON t.street_id = p.street_id AND t.number > p.number AND t.number % 2 = p.number % 2 GROUP BY id)
+SELECT p.id, p.street_id, p.number, round(a.lat + (b.lat - a.lat) * (p.number - lo) / (hi - lo), 9) AS lat, round(a.lng + (b.lng - a.lng) * (p.number - lo) / (hi - lo), 9) AS lng
+FROM p JOIN l USING (id) JOIN h USING (id) JOIN point AS a ON a.street_id = p.street_id AND a.number = lo JOIN point AS b ON b.street_id = p.street_id AND b.number = hi""")
+def number_interpolation(w):
+    out = numbers.interpolate(w.input.select(F.col("input_id").alias("id"), "street_id", "number"), w.point.select("street_id", "number", "lat", "lng"))
+    return out.select("id", "street_id", "number", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
+
+
+@query("""
+, r AS (SELECT street_id, number AS lo, number + 6 AS hi FROM point WHERE number % 10 = 0)
+SELECT i.input_id, r.lo, r.hi FROM input AS i JOIN r ON r.street_id = i.street_id AND i.number BETWEEN r.lo AND r.hi""")
+def interval_contains(w):
+    r = w.point.where("number % 10 = 0").select("street_id", F.col("number").alias("lo"), (F.col("number") + 6).alias("hi"))
+    return w.input.join(r, "street_id").where("number between lo and hi").select("input_id", "lo", "hi")
+
+
+@query("""
+, b AS (SELECT place_id, name FROM place), x AS (SELECT street_id, name FROM street WHERE street_id % 3 = 0)
+SELECT x.street_id, y.street_id AS longer, y.name AS full_name FROM (SELECT street_id, string_split(name, ' ')[1] AS head FROM street WHERE street_id % 3 = 0) AS x
+JOIN street AS y ON y.area_id = x.street_id % 25 AND y.name LIKE x.head || ' %' AND y.street_id <> x.street_id""")
+def completed_names_join(w):
+    x = w.street.where("street_id % 3 = 0").select("street_id", F.split("name", " ")[0].alias("head"), (F.col("street_id") % 25).cast("int").alias("area_id"))
+    y = w.street.select(F.col("street_id").alias("longer"), F.col("name").alias("full_name"), "area_id", F.split("name", " ")[0].alias("head"))
+    return x.join(y, ["area_id", "head"]).where("longer <> street_id").select("street_id", "longer", "full_name")
+
+
+# ---- aggregates ----------------------------------------------------------------------------------------------------
+@query("SELECT postal, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS lng, count(*) AS n FROM point GROUP BY postal HAVING count(*) >= 2")
+def postcode_centroids(w):
+    return w.point.groupBy("postal").agg(F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"), F.count("*").alias("n")).where("n >= 2")
+
+
+@query("""
+, c AS (SELECT postal, avg(lat) AS lat, count(*) AS n FROM point GROUP BY postal)
+SELECT substr(postal, 1, 3) AS prefix, round(sum(lat * n) / sum(n), 9) AS lat, sum(n)::BIGINT AS n FROM c GROUP BY prefix HAVING sum(n) >= 5""")
+def prefix_centroids(w):
+    c = w.point.groupBy("postal").agg(F.avg("lat").alias("lat"), F.count("*").alias("n"))
+    return c.groupBy(F.substring("postal", 1, 3).alias("prefix")).agg(F.round(F.sum(F.col("lat") * F.col("n")) / F.sum("n"), 9).alias("lat"), F.sum("n").alias("n")).where("n >= 5")
+
+
+@query(f"""
+, m AS (SELECT name, number, median(lat) AS mlat, median(lng) AS mlng FROM point GROUP BY name, number),
+k AS (SELECT p.name, p.number, p.lat, p.lng FROM point AS p JOIN m USING (name, number) WHERE {_HAVERSINE.replace("{a}lat", "p.lat").replace("{a}lng", "p.lng").replace("{b}lat", "mlat").replace("{b}lng", "mlng")} <= 20000)
+SELECT name, number, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS lng, count(*) AS n FROM k GROUP BY name, number""")
+def median_points(w):
+    p = w.point.select("name", "number", "lat", "lng")
+    m = p.groupBy("name", "number").agg(F.median("lat").alias("mlat"), F.median("lng").alias("mlng"))
+    k = p.join(m, ["name", "number"]).where(geo.haversine(F.col("lat"), F.col("lng"), F.col("mlat"), F.col("mlng")) <= 20000)
+    return k.groupBy("name", "number").agg(F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"), F.count("*").alias("n"))
+
+
+@query("""
+, x AS (SELECT street_id, list_sort(list(number)) AS xs FROM point GROUP BY street_id)
+SELECT street_id, xs[least(len(xs) - 1, floor(len(xs) * 0.5))::INT + 1] AS p50, xs[least(len(xs) - 1, floor(len(xs) * 0.9))::INT + 1] AS p90 FROM x""")
+def index_percentiles(w):
+    return w.point.groupBy("street_id").agg(stats.percentile_index(F.col("number"), 0.5).alias("p50"), stats.percentile_index(F.col("number"), 0.9).alias("p90"))
+
+
+@query("SELECT round(lat, 3) AS y, round(lng, 3) AS x, count(DISTINCT name) AS streets FROM point GROUP BY y, x HAVING count(DISTINCT name) >= 3")
+def coordinate_hotspots(w):
+    return w.point.groupBy(F.round("lat", 3).alias("y"), F.round("lng", 3).alias("x")).agg(F.countDistinct("name").alias("streets")).where("streets >= 3")
+
+
+@query("""
+, o AS (SELECT DISTINCT area_id, street_id, number FROM point), b AS (SELECT DISTINCT street_id, number FROM input),
+m AS (SELECT area_id, count(*) AS n, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.street_id = o.street_id AND b.number = o.number)) AS missing FROM o GROUP BY area_id)
+SELECT area_id, n, missing, CASE WHEN missing < 0.05 * n THEN '<5%' WHEN missing < 0.2 * n THEN '5-20%' WHEN missing < 0.5 * n THEN '20-50%' ELSE '>=50%' END AS bucket FROM m""")
+def coverage_gaps(w):
+    o, b = w.point.select("area_id", "street_id", "number").distinct(), w.input.select("street_id", "number").distinct().withColumn("has", F.lit(1))
+    m = o.join(b, ["street_id", "number"], "left").groupBy("area_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("has").isNull(), 1).otherwise(0)).alias("missing"))
+    rate = F.col("missing") / F.col("n")
+    return m.withColumn("bucket", F.when(rate < 0.05, "<5%").when(rate < 0.2, "5-20%").when(rate < 0.5, "20-50%").otherwise(">=50%"))
+
+
+@query("SELECT name, count(*) AS n, count(DISTINCT area_id) AS areas, CASE WHEN count(DISTINCT area_id) = 1 THEN 'resolved' ELSE 'ambiguous' END AS verdict FROM street GROUP BY name HAVING count(*) > 1")
+def same_name_groups(w):
+    g = w.street.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("area_id").alias("areas")).where("n > 1")
+    return g.withColumn("verdict", F.when(F.col("areas") == 1, "resolved").otherwise("ambiguous"))
+
+
+@query("""
+, g AS (SELECT area_id, name, count(*) AS n FROM point GROUP BY area_id, name), r AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, name) AS r, sum(n) OVER (PARTITION BY area_id) AS total FROM g)
+SELECT area_id, name, n, round(n / total, 6) AS share FROM r WHERE r <= 6""")
+def district_top_streets(w):
+    part = W.partitionBy("area_id")
+    g = w.point.groupBy("area_id", "name").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(part))
+    r = g.withColumn("r", F.row_number().over(part.orderBy(F.desc("n"), "name"))).where("r <= 6")
+    return r.select("area_id", "name", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query("""
+, t AS (SELECT i.input_id, CASE WHEN p.point_id IS NULL THEN 'no_point' WHEN p.blk = i.number::VARCHAR THEN 'exact' ELSE 'letter' END AS class, CASE WHEN EXISTS (SELECT 1 FROM point AS q WHERE q.street_id = i.street_id) THEN 1 ELSE 0 END AS street
+  FROM input AS i LEFT JOIN point AS p ON p.street_id = i.street_id AND p.number = i.number)
+SELECT class, count(*) AS n, sum(street)::BIGINT AS on_known_street FROM t GROUP BY class""")
+def health_classes(w):
+    p = w.point.select("street_id", "number", "point_id", "blk")
+    known = w.point.select("street_id").distinct().withColumn("known", F.lit(1))
+    t = w.input.join(p, ["street_id", "number"], "left").join(known, "street_id", "left")
+    kind = F.when(F.col("point_id").isNull(), "no_point").when(F.col("blk") == F.col("number").cast("string"), "exact").otherwise("letter")
+    return t.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("on_known_street"))
+
+
+@query("""
+, r AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY population DESC, place_id) AS r FROM place)
+SELECT area_id, place_id, population FROM r WHERE r <= 3""")
+def gazetteer_top_homonyms(w):
+    r = F.row_number().over(W.partitionBy("area_id").orderBy(F.desc("population"), "place_id"))
+    return w.place.withColumn("r", r).where("r <= 3").select("area_id", "place_id", "population")
+
+
+@query("""
+, e AS (SELECT a.street_id AS a, b.street_id AS b FROM street AS a JOIN street AS b ON a.name = b.name AND abs(a.lat - b.lat) < 0.05 AND a.street_id < b.street_id),
+n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+c AS (SELECT street_id AS u, street_id AS r FROM street UNION SELECT n.v, c.r FROM c JOIN n USING (u))
+SELECT u AS street_id, min(r) AS cluster FROM c GROUP BY u""")
+def street_clusters(w):
+    """Connected components by least-id propagation; each round ends its lineage in the checkpoint folder."""
+    s = w.street.select("street_id", "name", "lat")
+    t = s.select(F.col("street_id").alias("other"), "name", F.col("lat").alias("olat"))
+    e = s.join(t, "name").where((F.abs(F.col("lat") - F.col("olat")) < 0.05) & (F.col("street_id") != F.col("other"))).select("street_id", "other")
+    sc = w.spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmark-"))
+    e = e.checkpoint()
+    label = s.select("street_id", F.col("street_id").alias("cluster")).checkpoint()
+    while True:
+        near = e.join(label.withColumnRenamed("street_id", "other"), "other").groupBy("street_id").agg(F.min("cluster").alias("near"))
+        new = label.join(near, "street_id", "left").select("street_id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")).checkpoint()
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return label
+
+
+# ---- scoring -------------------------------------------------------------------------------------------------------
+_CAND = """
+, cand AS (SELECT i.input_id AS id, p.point_id, p.street_id, p.postal, p.blk, i.number::VARCHAR AS typed_blk, i.input_id % 7 = 0 AS no_code, i.truth_postal,
+  p.street_id = i.street_id AND p.number = i.number AS is_true FROM input AS i JOIN point AS p ON p.street_id = i.street_id AND p.number BETWEEN i.number - 1 AND i.number + 1),
+lv AS (SELECT *, CASE WHEN no_code THEN 'absent' WHEN truth_postal = postal THEN 'exact' WHEN len(list_filter(range(1, 7), lambda k: substr(truth_postal, k::INT, 1) <> substr(postal, k::INT, 1))) = 1 THEN 'near' ELSE 'mismatch' END AS postal_level,
+  CASE WHEN typed_blk = blk THEN 'exact' WHEN typed_blk = regexp_replace(blk, '[A-Z]+$', '') THEN 'letter' ELSE 'mismatch' END AS block_level FROM cand)"""
+
+
+def _levels(w):
+    p = w.point.select("street_id", "point_id", "postal", "blk", F.col("number").alias("pn"))
+    c = w.input.withColumn("pn", F.explode(F.sequence(F.col("number") - 1, F.col("number") + 1))).join(p, ["street_id", "pn"])
+    typed = F.when(F.col("input_id") % 7 != 0, F.col("truth_postal"))
+    return c.select(
+        F.col("input_id").alias("id"), "point_id", "street_id", (F.col("pn") == F.col("number")).alias("is_true"),
+        evidence.compare_postal(typed, F.col("postal")).alias("postal_level"), evidence.compare_block(F.col("number").cast("string"), F.col("blk")).alias("block_level"),
+    )
+
+
+@query(f"{_CAND} SELECT id, point_id, postal_level, block_level, is_true FROM lv")
+def compare_levels(w):
+    return _levels(w).select("id", "point_id", "postal_level", "block_level", "is_true")
+
+
+_FIT = """
+, lf AS (SELECT 'postal' AS field, postal_level AS level, is_true FROM lv UNION ALL SELECT 'block', block_level, is_true FROM lv),
+mu AS (SELECT field, level, count(*) FILTER (WHERE is_true) AS m, count(*) FILTER (WHERE NOT is_true) AS u FROM lf GROUP BY field, level),
+wt AS (SELECT field, level, log2(((m + 0.5) / (sum(m) OVER f + 0.5 * count(*) OVER f)) / ((u + 0.5) / (sum(u) OVER f + 0.5 * count(*) OVER f))) AS weight FROM mu WINDOW f AS (PARTITION BY field))"""
+
+
+def _weights(levels):
+    long = levels.select(F.lit("postal").alias("field"), F.col("postal_level").alias("level"), "is_true").unionByName(levels.select(F.lit("block").alias("field"), F.col("block_level").alias("level"), "is_true"))
+    return evidence.fit_weights(long)
+
+
+@query(f"{_CAND}{_FIT} SELECT field, level, round(weight, 6) AS weight FROM wt")
+def fit_match_weights(w):
+    return _weights(_levels(w)).select("field", "level", F.round("weight", 6).alias("weight"))
+
+
+_POST = """
+, ev AS (SELECT id, point_id, is_true, a.weight + b.weight AS evidence FROM lv JOIN wt AS a ON a.field = 'postal' AND a.level = postal_level JOIN wt AS b ON b.field = 'block' AND b.level = block_level),
+sc AS (SELECT *, log2(0.9 / count(*) OVER i) + evidence AS b FROM ev WINDOW i AS (PARTITION BY id)),
+po AS (SELECT id, point_id, is_true, pow(2.0, b) / (sum(pow(2.0, b)) OVER (PARTITION BY id) + 0.1) AS posterior FROM sc)"""
+
+
+def _posterior(w):
+    lv = _levels(w)
+    wt = F.broadcast(_weights(lv))  # one row for each level of each field
+    side = lambda f: wt.where(F.col("field") == f).select(F.col("level").alias(f"{f}_level"), F.col("weight").alias(f"w_{f}"))
+    ev = lv.join(side("postal"), "postal_level").join(side("block"), "block_level").withColumn("evidence", F.col("w_postal") + F.col("w_block"))
+    return evidence.posterior(ev.select("id", "point_id", "is_true", "evidence"), "id", prior_none=0.1)
+
+
+@query(f"{_CAND}{_FIT}{_POST} SELECT id, point_id, round(posterior, 6) AS posterior FROM po")
+def match_posterior(w):
+    return _posterior(w).select("id", "point_id", F.round("posterior", 6).alias("posterior"))
+
+
+@query(f"""{_CAND}{_FIT}{_POST},
+bn AS (SELECT least(floor(posterior * 10), 9) AS bin, count(*) AS n, avg(posterior) AS p, avg(is_true::INT) AS y, sum(pow(posterior - is_true::INT, 2)) AS s FROM po GROUP BY bin)
+SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece, round(sum(s) / sum(n), 6) AS brier FROM bn""")
+def posterior_calibration(w):
+    rows = _posterior(w).withColumn("y", F.col("is_true").cast("int"))
+    return metrics.calibration(rows, "posterior", "y").select(F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
+
+
+@query("""
+, s AS (SELECT quality, len(string_split(text, ' ')) AS score FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s)
+SELECT round((sum(r) FILTER (WHERE quality = 1) - count(*) FILTER (WHERE quality = 1) * (count(*) FILTER (WHERE quality = 1) + 1) / 2.0) / (count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE quality = 0)), 6) AS auroc FROM r""")
+def auroc_mid_ranks(w):
+    rows = w.table("labels").select("doc_id", "quality").join(w.table("documents").select("doc_id", F.size(F.split("text", " ")).alias("score")), "doc_id")
+    return metrics.auroc(rows, "score", "quality").select(F.round("auroc", 6).alias("auroc"))
+
+
+@query("""
+, r AS (SELECT doc_id, quality AS ok, lang, lang || '|' || source AS fine FROM labels JOIN documents USING (doc_id)),
+a AS (SELECT fine, sum(ok) AS c, count(*) AS n FROM r GROUP BY fine), b AS (SELECT lang, sum(ok) AS c, count(*) AS n FROM r GROUP BY lang)
+SELECT doc_id, round((a.c + 10.0 * ((b.c + 1.0) / (b.n + 2.0))) / (a.n + 10.0), 6) AS confidence FROM r JOIN a USING (fine) JOIN b USING (lang)""")
+def shrunk_confidence(w):
+    r = w.table("labels").join(w.table("documents").select("doc_id", "lang", F.concat_ws("|", "lang", "source").alias("fine")), "doc_id")
+    return evidence.shrunk_confidence(r.select("doc_id", "lang", "fine", "quality"), ["fine", "lang"], "quality").select("doc_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""
+, c AS (SELECT d.lang AS market, d.source AS key, l.quality = 1 AS ok, l.toxic = 1 AND l.quality = 0 AS gross FROM labels AS l JOIN documents AS d USING (doc_id)),
+g AS (SELECT market, key, count(*) AS n, avg(ok::INT) AS p, avg(gross::INT) AS gross FROM c GROUP BY market, key)
+SELECT market, key, n, round(p, 6) AS ok, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 6) AS lower FROM g WHERE n >= 5 AND p >= 0.8 AND gross <= 0.1
+  AND (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n) >= 0.5""")
+def accept_policy(w):
+    c = w.table("labels").join(w.table("documents").select("doc_id", "lang", "source"), "doc_id")
+    c = c.select(F.col("lang").alias("market"), F.col("source").alias("key"), (F.col("quality") == 1).alias("ok"), ((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("gross"))
+    return evidence.accept_policy(c, n=5, ok=0.8, wilson=0.5, gross=0.1).select("market", "key", "n", F.round("ok", 6).alias("ok"), F.round("lower", 6).alias("lower"))
+
+
+@query(f"""
+, h AS (SELECT i.input_id AS id, s.street_id, 3.0 - abs(s.street_id % 10 - i.number % 10) / 5.0 AS score, {_HAVERSINE.format(a="t.", b="s.")} AS metres
+  FROM input AS i JOIN street AS s ON s.name = i.name JOIN street AS t ON t.street_id = i.street_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, street_id) AS r FROM h),
+b AS (SELECT id, score AS best, street_id AS top FROM r WHERE r = 1)
+SELECT id, coalesce(bool_or(r > 1 AND street_id <> top AND best - score < 0.6 AND metres > 1000), false) AS ambiguous FROM r JOIN b USING (id) WHERE r <= 4 GROUP BY id""")
+def ambiguity_window(w):
+    s = w.street.select("street_id", "name", "lat", "lng")
+    t = s.select(F.col("street_id").alias("own"), F.col("lat").alias("olat"), F.col("lng").alias("olng"))
+    i = w.input.select(F.col("input_id").alias("id"), "name", "number", F.col("street_id").alias("own")).join(t, "own")
+    score = 3.0 - F.abs(F.col("street_id") % 10 - F.col("number") % 10) / 5.0
+    h = i.join(s, "name").select("id", "street_id", score.alias("score"), geo.haversine(F.col("olat"), F.col("olng"), F.col("lat"), F.col("lng")).alias("metres"))
+    return evidence.ambiguous(h)
+
+
+@query("""
+, c AS (SELECT i.input_id, p.point_id, (p.postal = i.truth_postal)::INT * 2 + (p.blk = i.number::VARCHAR)::INT AS score FROM input AS i JOIN point AS p ON p.street_id = i.street_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, point_id) AS r FROM c)
+SELECT input_id, point_id, score::INT AS score FROM r WHERE r = 1""")
+def hypothesis_rank(w):
+    p = w.point.select("street_id", "point_id", "postal", "blk")
+    score = (F.col("postal") == F.col("truth_postal")).cast("int") * 2 + (F.col("blk") == F.col("number").cast("string")).cast("int")
+    best = w.input.join(p, "street_id").withColumn("score", score).groupBy("input_id").agg(F.max_by(F.struct("point_id", "score"), F.struct("score", -F.col("point_id"))).alias("b"))
+    return best.select("input_id", "b.point_id", "b.score")
+
+
+_STATUS = """
+, st AS (SELECT input_id, CASE input_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'inferred' WHEN 2 THEN 'replaced' ELSE 'confirmed' END AS postal,
+  CASE WHEN input_id % 5 = 0 THEN 'inferred' ELSE 'confirmed' END AS premise, CASE WHEN input_id % 3 = 0 THEN 'corrected' ELSE 'confirmed' END AS route, input_id % 11 = 0 AS unresolved FROM input)"""
+
+
+@query(f"""{_STATUS}
+SELECT input_id, CASE WHEN 'replaced' IN (postal, premise, route) OR unresolved OR 'inferred' IN (postal, premise, route) OR 'corrected' IN (postal, premise, route) THEN 'CONFIRM' ELSE 'ACCEPT' END AS balanced,
+  CASE WHEN 'replaced' IN (postal, premise, route) OR unresolved THEN 'CONFIRM' ELSE 'ACCEPT' END AS lenient FROM st""")
+def strictness_matrix(w):
+    k = F.col("input_id")
+    postal = F.when(k % 4 == 1, "inferred").when(k % 4 == 2, "replaced").otherwise("confirmed")
+    premise, route = F.when(k % 5 == 0, "inferred").otherwise("confirmed"), F.when(k % 3 == 0, "corrected").otherwise("confirmed")
+    return w.input.select("input_id", *(evidence.decide(postal, premise, route, k % 11 == 0, s).alias(s.lower()) for s in ("BALANCED", "LENIENT")))
+
+
+# ---- evaluation, output --------------------------------------------------------------------------------------------
+@query("""
+, o AS (SELECT i.input_id % 6 AS variant, p.point_id IS NOT NULL AS found, p.blk = i.number::VARCHAR AS same FROM input AS i LEFT JOIN point AS p ON p.street_id = i.street_id AND p.number = i.number)
+SELECT variant, count(*) AS n, round(avg(found::INT), 6) AS found_rate, round(avg(coalesce(same, false)::INT), 6) AS right_rate, round(avg((found AND NOT same)::INT), 6) AS silent_rate FROM o GROUP BY variant""")
+def outcome_metrics(w):
+    o = w.input.join(w.point.select("street_id", "number", "blk"), ["street_id", "number"], "left")
+    found, same = F.col("blk").isNotNull(), F.coalesce(F.col("blk") == F.col("number").cast("string"), F.lit(False))
+    g = o.groupBy((F.col("input_id") % 6).alias("variant"))
+    return g.agg(F.count("*").alias("n"), F.round(stats.rate(found), 6).alias("found_rate"), F.round(stats.rate(same), 6).alias("right_rate"), F.round(stats.rate(found & ~same), 6).alias("silent_rate"))
+
+
+@query("""
+, a AS (SELECT input_id, CASE WHEN input_id % 6 IN (0, 2) THEN 'right' ELSE 'wrong' END AS before, CASE WHEN input_id % 6 IN (0, 2, 4) AND input_id % 9 <> 0 THEN 'right' ELSE 'wrong' END AS after FROM input)
+SELECT before, after, count(*) AS n FROM a GROUP BY before, after""")
+def regression_diff(w):
+    k = F.col("input_id")
+    before = w.input.select("input_id", F.when((k % 6).isin(0, 2), "right").otherwise("wrong").alias("before"))
+    after = w.input.select("input_id", F.when((k % 6).isin(0, 2, 4) & (k % 9 != 0), "right").otherwise("wrong").alias("after"))
+    return before.join(after, "input_id").groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type || '|' || coalesce(json_extract_string(props, '$.missing'), '') AS flat FROM events""", with_world=False)
+def request_json(w):
+    body = F.from_json("props", "k long, missing string")
+    return w.table("events").select("event_id", body.k.alias("k"), F.concat(F.col("event_type"), F.lit("|"), F.coalesce(body.missing, F.lit(""))).alias("flat"))
+
+
+@query("""SELECT point_id, '{"blk":"' || blk || '","road":"' || name || '","postal":"' || postal || '"}' AS response FROM point""")
+def response_json(w):
+    return w.point.select("point_id", F.to_json(F.struct("blk", F.col("name").alias("road"), "postal")).alias("response"))
+
+
+@query("""
+, t AS (SELECT input_id, text, number, name FROM input), v AS (SELECT input_id, unnest([lower(text), upper(text), 'Attn: Lee, ' || text, text || ' (leave at door)', replace(text, ' ', '  ')]) AS variant, unnest(range(5))::INT AS k FROM t)
+SELECT k, count(*) AS n, count(DISTINCT variant) AS variants, sum(length(variant))::BIGINT AS chars FROM v GROUP BY k""")
+def robustness_variants(w):
+    t = F.col("text")
+    v = w.input.select("input_id", F.posexplode(F.array(F.lower(t), F.upper(t), F.concat(F.lit("Attn: Lee, "), t), F.concat(t, F.lit(" (leave at door)")), F.replace(t, F.lit(" "), F.lit("  ")))).alias("k", "variant"))
+    return v.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("variant").alias("variants"), F.sum(F.length("variant")).alias("chars"))
+
+
+@query("""
+, c AS (SELECT i.input_id, p.point_id, 1 AS rank FROM input AS i JOIN point AS p ON p.postal = i.truth_postal UNION ALL SELECT i.input_id, p.point_id, 2 FROM input AS i JOIN point AS p ON p.name = i.name AND p.blk = i.number::VARCHAR),
+d AS (SELECT input_id, point_id, min(rank) AS rank FROM c GROUP BY input_id, point_id), r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY rank, point_id) AS r FROM d)
+SELECT input_id, point_id, rank FROM r WHERE r <= 30""")
+def ordered_candidate_union(w):
+    one = w.input.select("input_id", F.col("truth_postal").alias("postal")).join(w.point.select("postal", "point_id"), "postal").select("input_id", "point_id", F.lit(1).alias("rank"))
+    two = w.input.select("input_id", "name", F.col("number").cast("string").alias("blk")).join(w.point.select("name", "blk", "point_id"), ["name", "blk"]).select("input_id", "point_id", F.lit(2).alias("rank"))
+    d = one.unionByName(two).groupBy("input_id", "point_id").agg(F.min("rank").alias("rank"))
+    return d.withColumn("r", F.row_number().over(W.partitionBy("input_id").orderBy("rank", "point_id"))).where("r <= 30").drop("r")
+
+
+@query("""
+, p AS (SELECT input_id, point_id FROM input JOIN point ON postal = truth_postal), b AS (SELECT i.input_id, p.point_id FROM input AS i JOIN point AS p ON p.name = i.name AND p.blk = i.number::VARCHAR)
+SELECT * FROM p INTERSECT SELECT * FROM b""")
+def postcode_block_intersect(w):
+    p = w.input.join(w.point.select(F.col("postal").alias("truth_postal"), "point_id"), "truth_postal").select("input_id", "point_id")
+    b = w.input.select("input_id", "name", F.col("number").cast("string").alias("blk")).join(w.point.select("name", "blk", "point_id"), ["name", "blk"]).select("input_id", "point_id")
+    return p.intersect(b)
+
+
+@query(f"""{_SPANS}, hit AS (SELECT DISTINCT input_id, e - s AS n, span FROM span JOIN street ON span = name),
+rd AS (SELECT input_id, arg_max(span, n) AS road FROM hit GROUP BY input_id),
+x AS (SELECT i.input_id, rd.road, nullif(regexp_extract(upper(i.text), '(^|[^0-9#A-Z-])([0-9]{{1,4}}[A-Z]?)([^0-9A-Z-]|$)', 2), '') AS blk,
+  regexp_extract_all(' ' || replace(replace(text, ' ', '  '), '(', ' (') || ' ', '[^0-9]([0-9]{{6}})[^0-9]', 1) AS six, regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^0-9#-]([0-9]{{5}})[^0-9-]', 1) AS five FROM input AS i LEFT JOIN rd USING (input_id)),
+y AS (SELECT input_id, road, blk, CASE WHEN len(six) > 0 THEN six[-1] WHEN len(five) > 0 THEN '0' || five[-1] END AS postal FROM x),
+br AS (SELECT y.input_id, min(p.point_id) AS eid, count(*) AS n, min(p.point_id) FILTER (WHERE p.postal = y.postal) AS both FROM y JOIN point AS p ON p.name = y.road AND p.blk = y.blk GROUP BY y.input_id),
+po AS (SELECT y.input_id, min(p.point_id) AS eid, count(*) AS n FROM y JOIN point AS p ON p.postal = y.postal GROUP BY y.input_id)
+SELECT y.input_id, CASE WHEN br.both IS NOT NULL THEN br.both WHEN br.n = 1 THEN br.eid WHEN br.n IS NULL AND y.road IS NULL AND po.n = 1 THEN po.eid END AS eid,
+  CASE WHEN br.both IS NOT NULL THEN 'ACCEPT' WHEN br.n = 1 THEN 'CONFIRM' WHEN br.n IS NULL AND y.road IS NULL AND po.n = 1 THEN 'CONFIRM' ELSE 'FIX' END AS action,
+  CASE WHEN br.both IS NOT NULL THEN '' WHEN br.n = 1 THEN CASE WHEN y.postal IS NULL THEN 'POSTCODE_INFERRED' WHEN po.n IS NULL THEN 'POSTCODE_NOT_FOUND' ELSE 'POSTCODE_STREET_MISMATCH' END
+  WHEN br.n > 1 THEN 'AMBIGUOUS_MULTIPLE_CANDIDATES' WHEN y.road IS NULL AND po.n = 1 THEN 'POSTCODE_ONLY' WHEN y.road IS NOT NULL AND y.blk IS NULL THEN 'MISSING_PREMISE' WHEN y.road IS NOT NULL THEN 'PREMISE_NOT_FOUND' ELSE 'NO_MATCH' END AS reason
+FROM y LEFT JOIN br USING (input_id) LEFT JOIN po USING (input_id)""")
+def resolve_inputs(w):
+    """Free text to a decision: parse, recall by postcode and by block and road, corroborate, decide."""
+    up = F.upper("text")
+    s = w.input.select("input_id", F.explode(recall.spans(_words(F.col("text")))).alias("x")).select("input_id", (F.col("x.end") - F.col("x.start")).alias("n"), F.col("x.span").alias("road"))
+    road = s.join(w.street.select(F.col("name").alias("road")).distinct(), "road").groupBy("input_id").agg(F.max_by("road", "n").alias("road"))
+    blk = F.nullif(F.regexp_extract(up, "(^|[^0-9#A-Z-])([0-9]{1,4}[A-Z]?)([^0-9A-Z-]|$)", 2), F.lit(""))
+    y = w.input.select("input_id", blk.alias("blk"), _postal(F.col("text")).alias("postal")).join(road, "input_id", "left")
+    p = w.point.select("point_id", F.col("name").alias("road"), "blk", F.col("postal").alias("pc"))
+    br = y.join(p, ["road", "blk"]).groupBy("input_id").agg(F.min("point_id").alias("eid"), F.count("*").alias("n"), F.min(F.when(F.col("pc") == F.col("postal"), F.col("point_id"))).alias("both"))
+    po = y.join(p.select("point_id", F.col("pc").alias("postal")), "postal").groupBy("input_id").agg(F.min("point_id").alias("po_eid"), F.count("*").alias("po_n"))
+    z = y.join(br, "input_id", "left").join(po, "input_id", "left")
+    both, one, by_code = F.col("both").isNotNull(), F.col("n") == 1, F.col("n").isNull() & F.col("road").isNull() & (F.col("po_n") == 1)
+    code = F.when(F.col("postal").isNull(), "POSTCODE_INFERRED").when(F.col("po_n").isNull(), "POSTCODE_NOT_FOUND").otherwise("POSTCODE_STREET_MISMATCH")
+    reason = F.when(both, "").when(one, code).when(F.col("n") > 1, "AMBIGUOUS_MULTIPLE_CANDIDATES").when(by_code, "POSTCODE_ONLY").when(F.col("road").isNotNull() & F.col("blk").isNull(), "MISSING_PREMISE").when(F.col("road").isNotNull(), "PREMISE_NOT_FOUND").otherwise("NO_MATCH")
+    return z.select("input_id", F.when(both, F.col("both")).when(one, F.col("eid")).when(by_code, F.col("po_eid")).alias("eid"), F.when(both, "ACCEPT").when(one | by_code, "CONFIRM").otherwise("FIX").alias("action"), reason.alias("reason"))
