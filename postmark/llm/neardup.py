@@ -11,7 +11,8 @@ the same members are compared once. A comparison emits a spanning forest of its
 
 A pair at similarity s shares a node of a tree with probability s ** depth at least, if no node
 on its way is large: at the defaults 0.75 is missed by all trees with probability
-(1 - 0.75 ** 3) ** 20 < 0.00002, a greater similarity far more seldom.
+(1 - 0.75 ** 4) ** 28 < 0.00003, a greater similarity far more seldom. A node of two members is dropped
+unread where their one-bit sketches differ in more than ``APART`` places.
 
 Null and empty texts have an empty set, are linked with nothing and stay. A text of fewer than five
 words has its whole sequence as its one token. Rows that repeat a doc_id are one document for
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .tables import read, shared_dir, store
+from .tables import read, release, shared_dir, store
 
 WORDS, PERCENT = 5, 75
-SIGNATURE, TREES, DEPTH, MAX_DEPTH = 128, 20, 3, 9
-LEAF, LEAF_TOKENS = 800, 2_000_000
+SIGNATURE, TREES, DEPTH, MAX_DEPTH = 128, 28, 4, 9
+#: Two sets of similarity 0.75 differ in 16 of 128 one-bit minwise values by expectation; in more than this with probability under 1e-7.
+APART = 37
+LEAF, LEAF_TOKENS = 1600, 2_000_000
 _A = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,18 +87,21 @@ def _child(node, picks: str):
 
 
 def roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(node, id, n) after the first ``depth`` levels of every tree: the choice needs nothing but the class's own signature."""
-    rows = classes.select("id", "n", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("tree"))
+    """(node, id, n, s0, s1) after the first ``depth`` levels of every tree: the choice needs nothing but the class's own signature."""
+    bits = [F.aggregate(F.slice("sig", 1 + 64 * k, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.bitwiseAND(1).cast("long"))) for k in (0, 1)]
+    rows = classes.select("id", "n", "sig", *(b.alias(f"s{k}") for k, b in enumerate(bits)), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("tree"))
     node = F.xxhash64("tree")
     for level in range(depth):
         rows = rows.withColumn(f"n{level}", _child(node, "first"))
         node = F.col(f"n{level}")
-    return rows.select(node.alias("node"), "id", "n")
+    return rows.select(node.alias("node"), "id", "n", "s0", "s1")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Each node of two members or more with its size, tokens and a digest of its members."""
-    return rows.groupBy("node").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("id")).alias("who")).where("members > 1")
+    return rows.groupBy("node").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("id")).alias("who"), (F.bit_count(F.bit_xor("s0")) + F.bit_count(F.bit_xor("s1"))).alias("apart")).where(
+        f"members > 1 and (members > 2 or apart <= {APART})"
+    )
 
 
 def nodes(classes: DataFrame, folder: str, trees: int, depth: int, max_depth: int, leaf: int, leaf_tokens: int) -> DataFrame:
@@ -117,9 +123,9 @@ def nodes(classes: DataFrame, folder: str, trees: int, depth: int, max_depth: in
             spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             out.append(spread.select("node", "id", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right")))
         else:
-            deeper = big.select("node", "id", "n").join(classes.select("id", "sig"), "id").withColumn("pick", F.explode(F.array(F.lit("a"), F.lit("b"))))
+            deeper = big.select("node", "id", "n", "s0", "s1").join(classes.select("id", "sig"), "id").withColumn("pick", F.explode(F.array(F.lit("a"), F.lit("b"))))
             at = F.pmod(F.xxhash64("node", "pick"), F.lit(SIGNATURE)).cast("int")
-            rows = store(deeper.select(F.xxhash64("node", "pick", F.get("sig", at)).alias("node"), "id", "n"), folder, f"rows-{level}")
+            rows = store(deeper.select(F.xxhash64("node", "pick", F.get("sig", at)).alias("node"), "id", "n", "s0", "s1"), folder, f"rows-{level}")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
@@ -219,9 +225,12 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, folder: str, trees: int = TREES, depth: int = DEPTH, max_depth: int = MAX_DEPTH, leaf: int = LEAF, leaf_tokens: int = LEAF_TOKENS) -> DataFrame:
     """Links (a, b) between class representatives: a spanning forest for each node compared."""
+    release(docs.sparkSession)
     members = store(nodes(classes, folder, trees, depth, max_depth, leaf, leaf_tokens), folder, "members")
+    release(docs.sparkSession)
     active = members.select("id").distinct()
     full = store(token_sets(docs, classes.select("id", "k1", "k2").join(active, "id")), folder, "tokens")
+    release(docs.sparkSession)
     rows = members.join(full, "id").repartition("node", "left", "right").sortWithinPartitions("node", "left", "right")
     return store(rows.select("node", "left", "right", "id", "tokens").mapInArrow(_compare, "a long, b long").distinct(), folder, "links")
 
@@ -239,7 +248,9 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, **tree: int) ->
     names = named.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
     twice = names.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
     found = found.unionByName(twice)
+    release(spark)
     of = components(found, folder)
+    release(spark)
     member = names.join(of, "id", "left").select("doc_id", F.least("doc_id", F.coalesce("component", "id")).alias("c")).groupBy("doc_id").agg(F.min("c").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
