@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postmark.functions import geo, stats, text
-from postmark.operators import evidence, metrics, numbers, recall, spatial
+from postmark.operators import evidence, metrics, numbers, recall, resolve, spatial
+from postmark.operators.lineage import cut
 from postmark.plans.world import SQL as WORLD_SQL
 from postmark.plans.world import World
 
@@ -469,16 +470,12 @@ def street_clusters(w):
     s = w.street.select("street_id", "name", "lat")
     t = s.select(F.col("street_id").alias("other"), "name", F.col("lat").alias("olat"))
     e = s.join(t, "name").where((F.abs(F.col("lat") - F.col("olat")) < 0.05) & (F.col("street_id") != F.col("other"))).select("street_id", "other")
-    sc = w.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmark-"))
-    e = e.checkpoint()
-    label = s.select("street_id", F.col("street_id").alias("cluster")).checkpoint()
+    e = cut(e)
+    label = s.select("street_id", F.col("street_id").alias("cluster"))
+    label = cut(label)
     while True:
         near = e.join(label.withColumnRenamed("street_id", "other"), "other").groupBy("street_id").agg(F.min("cluster").alias("near"))
-        new = label.join(near, "street_id", "left").select("street_id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")).checkpoint()
+        new = cut(label.join(near, "street_id", "left").select("street_id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
         label = new.drop("moved")
         if new.where("moved").isEmpty():
             return label
@@ -709,3 +706,11 @@ def resolve_inputs(w):
     code = F.when(F.col("postal").isNull(), "POSTCODE_INFERRED").when(F.col("po_n").isNull(), "POSTCODE_NOT_FOUND").otherwise("POSTCODE_STREET_MISMATCH")
     reason = F.when(both, "").when(one, code).when(F.col("n") > 1, "AMBIGUOUS_MULTIPLE_CANDIDATES").when(by_code, "POSTCODE_ONLY").when(F.col("road").isNotNull() & F.col("blk").isNull(), "MISSING_PREMISE").when(F.col("road").isNotNull(), "PREMISE_NOT_FOUND").otherwise("NO_MATCH")
     return z.select("input_id", F.when(both, F.col("both")).when(one, F.col("eid")).when(by_code, F.col("po_eid")).alias("eid"), F.when(both, "ACCEPT").when(one | by_code, "CONFIRM").otherwise("FIX").alias("action"), reason.alias("reason"))
+
+
+@query()
+def validate_addresses(w):
+    """The whole resolver over all inputs: misspellings, block options, ranking, statuses, reasons. SQL can't express it; tests hold it against fixed cases."""
+    rows = w.point.select("blk", F.col("name").alias("road"), "postal", F.col("building").alias("buildings"), "lat", "lng")
+    out = resolve.validate(w.input.select(F.col("input_id").alias("id"), "text"), cut(resolve.reference(rows)))
+    return out.select("id", "action", "address", "unit", F.array_join("reasons", "|").alias("reasons"), F.size("candidates").alias("n_candidates"))
