@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from postmark.functions import geo, stats, text
-from postmark.operators import evidence, metrics, numbers, recall, resolve, spatial
+from postmark.operators import evidence, geocoder, metrics, noise, numbers, recall, resolve, spatial
 from postmark.operators.lineage import cut
 from postmark.plans.world import SQL as WORLD_SQL
 from postmark.plans.world import World
@@ -714,3 +714,52 @@ def validate_addresses(w):
     rows = w.point.select("blk", F.col("name").alias("road"), "postal", F.col("building").alias("buildings"), "lat", "lng")
     out = resolve.validate(w.input.select(F.col("input_id").alias("id"), "text"), cut(resolve.reference(rows)))
     return out.select("id", "action", "address", "unit", F.array_join("reasons", "|").alias("reasons"), F.size("candidates").alias("n_candidates"))
+
+
+@query("""
+, p AS (SELECT input_id AS id, number::VARCHAR AS nkey, CASE WHEN input_id % 3 = 0 THEN '999999' ELSE truth_postal END AS postcode, substr(name, 1, 3) AS s3 FROM input),
+a AS (SELECT p.id, t.point_id, 'postcode' AS route FROM p JOIN point AS t ON t.blk = p.nkey AND t.postal = p.postcode),
+b AS (SELECT p.id, t.point_id, row_number() OVER (PARTITION BY p.id ORDER BY t.point_id) AS r FROM p JOIN point AS t ON t.blk = p.nkey AND substr(t.name, 1, 3) = p.s3 WHERE p.id NOT IN (SELECT id FROM a))
+SELECT * FROM a UNION ALL SELECT id, point_id, 'prefix' FROM b WHERE r <= 5""")
+def national_recall_union(w):
+    code = F.when(F.col("input_id") % 3 == 0, "999999").otherwise(F.col("truth_postal"))
+    probes = w.input.select(F.col("input_id").alias("id"), F.col("number").cast("string").alias("nkey"), code.alias("postcode"), F.substring("name", 1, 3).alias("s3"))
+    points = w.point.select("point_id", F.col("blk").alias("nkey"), F.col("postal").alias("postcode"), F.substring("name", 1, 3).alias("s3"))
+    return geocoder.national_recall(probes, points, most=5)
+
+
+@query("""
+, e AS (SELECT input_id AS id, 3.0 AS weight, truth_postal < '050000' AS within FROM input WHERE input_id % 2 = 0 UNION ALL SELECT i.input_id, 2.0, s.area_id < 15 FROM input AS i JOIN street AS s USING (street_id) WHERE i.input_id % 5 <> 0
+  UNION ALL SELECT i.input_id, 1.0, p.population > 20000 FROM input AS i JOIN street AS s USING (street_id) JOIN place AS p ON p.area_id = s.area_id WHERE i.input_id % 7 = 0),
+g AS (SELECT id, sum(CASE WHEN within THEN weight ELSE 0 END) AS a, sum(CASE WHEN within THEN 0 ELSE weight END) AS b FROM e GROUP BY id)
+SELECT id, CASE WHEN b > a THEN 'OUTSIDE' WHEN a > 0 THEN 'INSIDE' ELSE 'UNKNOWN' END AS status FROM g""")
+def coverage_assess(w):
+    i, k = w.input.select(F.col("input_id").alias("id"), "street_id", "truth_postal"), F.col("id")
+    s = i.join(w.street.select("street_id", "area_id"), "street_id")
+    code = i.where(k % 2 == 0).select("id", F.lit(3.0).alias("weight"), (F.col("truth_postal") < "050000").alias("within"))
+    area = s.where(k % 5 != 0).select("id", F.lit(2.0).alias("weight"), (F.col("area_id") < 15).alias("within"))
+    town = s.where(k % 7 == 0).join(w.place.select("area_id", "population"), "area_id").select("id", F.lit(1.0).alias("weight"), (F.col("population") > 20000).alias("within"))
+    return geocoder.coverage(code.unionByName(area).unionByName(town))
+
+
+@query("""
+, g AS (SELECT input_id, (input_id * 37 % 3000)::DOUBLE AS metres, CASE WHEN input_id % 4 = 0 THEN NULL WHEN input_id % 9 = 1 THEN 'CONFLICT' ELSE 'CONFIRMED' END AS number, CASE WHEN input_id % 6 = 1 THEN 'CONFLICT' ELSE 'CONFIRMED' END AS postal,
+  CASE WHEN input_id % 8 = 0 THEN 'CORRECTED' ELSE 'CONFIRMED' END AS route FROM input),
+c AS (SELECT *, coalesce(number = 'CONFLICT', false) OR postal = 'CONFLICT' OR route = 'CONFLICT' AS conflict FROM g)
+SELECT CASE WHEN metres >= 2000 THEN 'REJECTED' WHEN conflict AND metres > 250 THEN 'REJECTED' WHEN number IS NULL AND route = 'CONFIRMED' THEN 'MISSING_NUMBER' WHEN number IS NULL THEN 'STREET_LEVEL'
+  WHEN metres <= 250 AND NOT conflict THEN 'VERIFIED' WHEN metres < 1000 THEN 'PLAUSIBLE' ELSE 'REJECTED' END AS verdict, count(*) AS n FROM c GROUP BY verdict""")
+def geocoder_verdict(w):
+    k = F.col("input_id")
+    number = F.when(k % 4 == 0, None).when(k % 9 == 1, "CONFLICT").otherwise("CONFIRMED")
+    postal, route = F.when(k % 6 == 1, "CONFLICT").otherwise("CONFIRMED"), F.when(k % 8 == 0, "CORRECTED").otherwise("CONFIRMED")
+    v = geocoder.verdict((k * 37 % 3000).cast("double"), number, postal, route)
+    return w.input.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT input_id, CASE input_id % 4 WHEN 0 THEN ['a' || input_id || '@mail.example.com'] ELSE []::VARCHAR[] END AS emails, CASE input_id % 4 WHEN 1 THEN ['Lee Ah Kow'] ELSE []::VARCHAR[] END AS recipients,
+  CASE input_id % 4 WHEN 2 THEN ['please leave at door'] ELSE []::VARCHAR[] END AS notes, CASE WHEN input_id % 6 = 0 THEN array_to_string(list_transform(string_split(text, ','), lambda s: trim(s)), ', ') ELSE text END AS clean FROM input""")
+def noise_segments(w):
+    k, t = F.col("input_id"), F.col("text")
+    said = F.when(k % 4 == 0, F.concat(t, F.lit(", a"), k.cast("string"), F.lit("@mail.example.com"))).when(k % 4 == 1, F.concat(F.lit("Attn: Lee Ah Kow, "), t)).when(k % 4 == 2, F.concat(t, F.lit("; please leave at door"))).otherwise(t)
+    return noise.separate(w.input.select("input_id", said.alias("text"))).select("input_id", "emails", "recipients", "notes", "clean")
