@@ -1,140 +1,158 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's set is its distinct words (lower case, cut at white space). Words are ordered by
+A line's set is its distinct words (lower case, cut at spaces; white space at the line's ends doesn't count). Words are ordered by
 rarity: by class of frequency over all lines, then longer before shorter, then by hash. Any two
 lines with Jaccard similarity of ``percent`` / 100 or more share a word among the first
 n - ceil(percent * n / 100) + 1 of this order (prefix filter); the length filter and the
-positional filter at the shared word prune pairs before their words are compared in full. A
+positional filter at the shared word prune pairs, and so does a bitmap filter (64 parity bits of the
+set, which can't differ in more places than the sets in words), before their words are compared in full. A
 line goes if an earlier line (by doc_id, then place in the text) is similar to it, whether or
 not that line goes itself.
 
-Equal lines are one entry of the join. To keep groups of many variants linear, entries are first
-held against the earliest entry under each shared prefix word; only those that match none of
-these are joined with all.
+Equal lines are one entry of the join. To keep groups of many variants linear, entries are first held against the earliest entry
+under each shared prefix word; only those that match none of these are joined with all.
 
 Lines without words stay. A null text stays null; a text whose lines all go becomes empty.
-Null doc_ids come after all others. Rows that repeat a doc_id are ordered by a hash of their
-text; wholly equal rows stand at the same place and stand or fall together.
+Null doc_ids come after all others. In rows that repeat a doc_id, lines are ordered by their place,
+then by a hash of the text; similar lines at the same place of such rows aren't earlier than each other, and
+wholly equal rows stand or fall together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .tables import read, release, shared_dir, store
+from .tables import drop, read, release, shared_dir, store
 
 PERCENT = 85
 #: Words ranked among the most frequent this many form classes of their own; the last bounds what the driver gathers.
 CLASSES = (64, 1024, 16384)
-_SPACES = "\t\r\x0b\x0c"
+_LAST = (1 << 63) - 1
 
 
-def _codes(line):
-    """The distinct words as longs that sort longer words first: 5 bits of length, 56 bits of hash."""
-    words = F.array_remove(F.split(F.translate(F.lower(line), _SPACES, "    "), " "), "")
-    return F.array_distinct(
-        F.transform(words, lambda w: F.shiftleft((31 - F.least(F.length(w), F.lit(31))).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << 56) - 1)))
-    )
+def _norm(line):
+    return F.lower(F.btrim(line, F.lit(" \t\r")))
+
+
+def _code(w):
+    """A word as a long that sorts longer words first: 5 bits of length in bytes, 56 bits of hash."""
+    return F.shiftleft((31 - F.least(F.octet_length(w), F.lit(31))).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << 56) - 1))
+
+
+def _codes(norm):
+    return F.array_distinct(F.transform(F.split(norm, " "), _code))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(d, r, line_no, line): every line with its document's key."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(d, r, line_no, line): every line that isn't blank, normalised, with its document's key."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    lines = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("d", "r", "line_no", _norm("line").alias("line")).where("line <> ''")
 
 
 def frequent(docs: DataFrame, n: int = CLASSES[-1]) -> list[int]:
-    """The codes of the ``n`` most frequent words of all lines, most frequent first."""
-    counts = _rows(docs).select(F.explode(_codes(F.col("line"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(n).collect()]
+    """The codes of the ``n`` most frequent words of all texts, most frequent first."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(_code(F.col("w")).alias("w"))
+    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n).collect()]
 
 
-def _ordered(codes, common: list[int]):
+def _ordered(codes: str, common: list[int]):
     """The codes with their frequency class above all else, sorted: rarest word first."""
-    cases, low = "", 0
-    for k, high in enumerate(CLASSES):
+    if not common:
+        return F.sort_array(codes)
+    said = lambda ws: ",".join(f"{w}L" for w in ws)
+    inner, low = "", 0
+    for k, high in enumerate(CLASSES[:-1]):
         if part := common[low:high]:
-            cases += f" when c in ({','.join(f'{w}L' for w in part)}) then c + {(len(CLASSES) - k) << 61}L"
+            inner += f" when c in ({said(part)}) then c + {(len(CLASSES) - k) << 61}L"
         low = high
-    expr = f"case{cases} else c end" if cases else "c"
-    return F.expr(f"array_sort(transform(__codes, c -> {expr}))")
+    found = f"case{inner} else c + {1 << 61}L end"
+    # most words are in no class, so one look-up settles them
+    return F.expr(f"sort_array(transform({codes}, c -> case when c in ({said(common)}) then {found} else c end))")
+
+
+def _name():
+    return F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")
 
 
 def entries(docs: DataFrame, common: list[int], percent: int) -> DataFrame:
-    """One row a line with words: place (d, r, line_no), name of the line (k1, k2), n words, and its prefix."""
-    rows = _rows(docs).withColumn("__codes", _codes(F.col("line"))).where(F.size("__codes") > 0)
-    norm = F.trim(F.lower(F.translate(F.col("line"), _SPACES, "    ")))
-    rows = rows.select("d", "r", "line_no", F.xxhash64(norm).alias("k1"), F.hash(norm).alias("k2"), _ordered(F.col("__codes"), common).alias("codes"))
+    """One row a distinct line: its name (k1, k2), first place f, n words, and its prefix."""
+    rows = _rows(docs).select("d", "r", "line_no", *_name(), _codes("line").alias("codes"))
+    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
+    rows = rows.select("d", "r", "line_no", "k1", "k2", parity.alias("s"), _ordered("codes", common).alias("codes"))
     n = F.size("codes")
-    return rows.select("d", "r", "line_no", "k1", "k2", n.alias("n"), F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1).alias("prefix"))
+    rows = rows.select("d", "r", "line_no", "k1", "k2", "s", n.alias("n"), F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1).alias("prefix"))
+    return rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "line_no", "r")).alias("f"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("prefix").alias("prefix"))
 
 
 def _near(percent: int):
-    """Length and positional filters for entries x and y that share the word at places x.i and y.i."""
-    shorter, longer = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    most = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
-    return (shorter * 100 >= longer * percent) & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-
-
-_PAIR = ("y.k1", "y.k2", "y.f", "x.k1", "x.k2", "x.f")
+    """Length, positional and bitmap filters for entries that share the word at places i of x and y."""
+    xn, xi, yn, yi = (F.col(c) for c in ("xn", "xi", "yn", "yi"))
+    most = 1 + F.least(xn - xi - 1, yn - yi - 1)
+    apart = F.bit_count(F.col("xs").bitwiseXOR(F.col("ys")))
+    # overlap is at most half of what the words that differ leave of both
+    return (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent) & (most * (100 + percent) >= (xn + yn) * percent) & ((xn + yn - apart) * (100 + percent) >= 2 * (xn + yn) * percent)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*(F.col(c).alias(c.replace(".", "")) for c in _PAIR)).distinct()
-
-
-def _spread(sets: DataFrame) -> DataFrame:
-    return sets.select("k1", "k2", "f", "n", F.posexplode("prefix").alias("i", "w"))
+_PAIR = ("yd", "yl", "xd", "xl")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, folder: str, name: str, percent: int) -> DataFrame:
     """(k1, k2) of the later lines of pairs that are similar on their whole sets."""
-    ends = pairs.select(F.col("yk1").alias("k1"), F.col("yk2").alias("k2"), F.col("yf").alias("f")).unionByName(pairs.select(F.col("xk1").alias("k1"), F.col("xk2").alias("k2"), F.col("xf").alias("f")))
-    wanted = ends.distinct().groupBy(F.col("f.d").alias("d"), F.col("f.r").alias("r")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("line_no"), "k1", "k2")).alias("wanted"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    texts = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("r"), "text")
-    found = texts.join(wanted, ["d", "r"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("one"))
-    # wholly equal rows give a line more than once; the pair is the same
-    full = store(found.select(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"), _codes(F.get("lines", F.col("one.line_no"))).alias("codes")), folder, f"{name}-codes")
-    x = full.select(F.col("k1").alias("xk1"), F.col("k2").alias("xk2"), F.col("codes").alias("xc"))
-    y = full.select(F.col("k1").alias("yk1"), F.col("k2").alias("yk2"), F.col("codes").alias("yc"))
+    ends = pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l")).unionByName(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")))
+    wanted = ends.groupBy("d").agg(F.collect_set("l").alias("wanted"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    found = docs.where("text is not null").select(key.alias("d"), "text").join(wanted, "d").select("d", "wanted", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    found = found.where(F.array_contains("wanted", F.col("l"))).select("d", "l", _norm("line").alias("line")).where("line <> ''")
+    full = store(found.select("d", "l", *_name(), _codes("line").alias("codes")).distinct(), folder, f"{name}-codes")
+    release(docs.sparkSession)
+    x = full.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("codes").alias("xc"))
+    y = full.select(F.col("d").alias("yd"), F.col("l").alias("yl"), "k1", "k2", F.col("codes").alias("yc"))
     both = F.size(F.array_intersect("xc", "yc"))
     ok = both * (100 + percent) >= (F.size("xc") + F.size("yc")) * percent
-    return pairs.join(x, ["xk1", "xk2"]).join(y, ["yk1", "yk2"]).where(ok).select(F.col("yk1").alias("k1"), F.col("yk2").alias("k2")).distinct()
+    out = store(pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).where(ok).select("k1", "k2").distinct(), folder, f"{name}-gone")
+    drop(docs.sparkSession, f"{folder}/{name}-codes")
+    release(docs.sparkSession)
+    return out
 
 
 def removed_lines(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """(d, r, gone): for each document that loses lines, their numbers from 0."""
     spark = docs.sparkSession
-    lines = store(entries(docs, frequent(docs), percent), folder, "lines")
-    release(spark)
-    sets = store(lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "r", "line_no")).alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), folder, "sets")
-    release(spark)
-    spread = _spread(sets)
-    least = spread.groupBy("w").agg(F.min(F.struct("f", "k1", "k2", "n", "i")).alias("x"), F.count("*").alias("c")).where("c > 1").select(F.col("w").alias("xw"), "x")
-    first = store(_pairs(spread.alias("y").join(least, F.col("w") == F.col("xw")).where((F.col("y.f") > F.col("x.f")) & _near(percent))), folder, "first")
+    sets = store(entries(docs, frequent(docs), percent), folder, "sets")
     release(spark)
-    gone = store(_similar(docs, first, folder, "first", percent), folder, "gone")
-    release(spark)
-    rest = _spread(sets.join(gone, ["k1", "k2"], "left_anti"))
-    match = (F.col("x.w") == F.col("y.w")) & (F.col("y.f") > F.col("x.f")) & _near(percent)
-    second = _pairs(rest.alias("y").join(spread.alias("x"), match))
-    second = store(second.join(first, list(second.columns), "left_anti"), folder, "second")
+    later = (F.col("yd") > F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") > F.col("xl")))
+
+    def spread(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col("f.d").alias(f"{side}d"), F.col("f.line_no").alias(f"{side}l"), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s"), F.posexplode("prefix").alias(f"{side}i", "w"))
+
+    least = F.min(F.struct(F.col("yd").alias("xd"), F.col("yl").alias("xl"), F.col("yn").alias("xn"), F.col("ys").alias("xs"), F.col("yi").alias("xi"))).over(W.partitionBy("w"))
+    first = spread(sets, "y").withColumn("x", least).select("yd", "yl", "yn", "ys", "yi", "x.*").where(later & _near(percent)).select(*_PAIR).distinct()
+    first = store(first, folder, "first")
     release(spark)
-    gone = gone.unionByName(store(_similar(docs, second, folder, "second", percent), folder, "more"))
+    gone = _similar(docs, first, folder, "first", percent)
+    rest = spread(sets.join(gone, ["k1", "k2"], "left_anti"), "y")
+    second = rest.join(spread(sets, "x"), "w").where(later & _near(percent)).select(*_PAIR).distinct()
+    second = store(second.join(first, list(_PAIR), "left_anti"), folder, "second")
     release(spark)
+    gone = gone.unionByName(_similar(docs, second, folder, "second", percent)).distinct()
     verdict = sets.select("k1", "k2", "f").join(gone.withColumn("bad", F.lit(True)), ["k1", "k2"], "left")
-    place = F.struct("d", "r", "line_no")
-    lost = lines.select("d", "r", "line_no", "k1", "k2").join(verdict, ["k1", "k2"]).where((place != F.col("f")) | F.col("bad"))
-    return store(lost.groupBy("d", "r").agg(F.collect_set("line_no").alias("gone")), folder, "lost")
+    place = F.struct("d", "line_no", "r")
+    lost = _rows(docs).select("d", "r", "line_no", *_name()).join(verdict, ["k1", "k2"]).where((place != F.col("f")) | F.col("bad"))
+    lost = store(lost.groupBy("d", "r").agg(F.collect_set("line_no").alias("gone")), folder, "lost")
+    for name in ("sets", "first", "second", "first-gone", "second-gone"):
+        drop(spark, f"{folder}/{name}")
+    release(spark)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, folder: str | None = None, report: bool = True) -> DataFrame:
     """Every row with its columns, later similar lines taken out of text; with ``report``, n_lines and n_removed beside them (in place of any of that name)."""
     folder = folder or shared_dir(docs.sparkSession)
     lost = removed_lines(docs, folder, percent)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("d"), F.xxhash64("text").alias("r")).join(lost, ["d", "r"], "left")
     lines = F.split("row.text", "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
@@ -159,7 +177,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-s AS (SELECT doc_id, line, line_no, list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda w: w <> ''))) AS words FROM l),
+s AS (SELECT doc_id, line, line_no, list_sort(list_distinct(list_filter(string_split(trim(lower(line), ' ' || chr(9) || chr(13)), ' '), lambda w: trim(lower(line), ' ' || chr(9) || chr(13)) <> ''))) AS words FROM l),
 d AS (SELECT words, len(words) AS n, min((doc_id, line_no)) AS f FROM s WHERE len(words) > 0 GROUP BY words),
 t AS (SELECT f, n, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
 c AS (SELECT w, count(*) AS c FROM t GROUP BY w),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -41,5 +42,7 @@ def drop(spark: SparkSession, folder: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that have ended, instead of whenever the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold the last reference to a shuffle
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
