@@ -23,10 +23,10 @@ def separate(df: DataFrame, column: str = "text", known: DataFrame | None = None
     text = F.coalesce(F.col(column), F.lit(""))
     lists = {}
     for name, pattern in (("emails", EMAIL), ("orders", ORDER), ("phones", PHONE)):
-        lists[name] = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.trim)
+        lists[name] = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.trim(s))
         text = F.regexp_replace(text, pattern, " , ")
     # a floor and unit, or a postcode in brackets, must not be cut
-    segments = F.filter(F.transform(F.split(text, r"[,;\n]+"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(text, r"[,;\n]+"), lambda s: F.trim(s)), lambda s: s != "")
     out = df.withColumns(lists | {"__s": segments})
     if known is not None:
         safe = known.select(F.upper("segment").alias("__k")).distinct()
