@@ -19,4 +19,4 @@ QUERIES = {
     "op10_html_extraction": html.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL, "op9_near_duplicates": neardup.ORACLE_SQL}
