@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from postmark.functions import geo, stats, text
+from postmark.functions import geo, international, stats, text
 from postmark.operators import evidence, geocoder, metrics, noise, numbers, recall, resolve, spatial
 from postmark.operators.lineage import cut
 from postmark.plans.world import SQL as WORLD_SQL
@@ -763,3 +763,20 @@ def noise_segments(w):
     k, t = F.col("input_id"), F.col("text")
     said = F.when(k % 4 == 0, F.concat(t, F.lit(", a"), k.cast("string"), F.lit("@mail.example.com"))).when(k % 4 == 1, F.concat(F.lit("Attn: Lee Ah Kow, "), t)).when(k % 4 == 2, F.concat(t, F.lit("; please leave at door"))).otherwise(t)
     return noise.separate(w.input.select("input_id", said.alias("text"))).select("input_id", "emails", "recipients", "notes", "clean")
+
+
+@query("""
+, m AS (SELECT point_id, postal, ['CZ','SE','PL','LT','DE'][(point_id % 5)::INT + 1] AS market, CASE WHEN point_id % 2 = 0 THEN 'X-' ELSE '' END || substr(postal, 1, 3) || ' ' || substr(postal, 4, 2) AS said FROM point),
+n AS (SELECT point_id, market, regexp_replace(regexp_replace(said, '[ -]', '', 'g'), '^[A-Z]{1,2}([0-9]{4,5})$', '\\1') AS norm FROM m)
+SELECT point_id, market, norm, CASE WHEN market IN ('CZ','SE') THEN substr(norm, 1, 3) || ' ' || substr(norm, 4) WHEN market = 'PL' THEN substr(norm, 1, 2) || '-' || substr(norm, 3) WHEN market = 'LT' THEN 'LT-' || norm ELSE norm END AS local FROM n""")
+def postcode_forms(w):
+    k, p = F.col("point_id"), F.col("postal")
+    market = F.get(F.array(*(F.lit(x) for x in ("CZ", "SE", "PL", "LT", "DE"))), (k % 5).cast("int"))
+    said = F.concat(F.when(k % 2 == 0, "X-").otherwise(""), F.substring(p, 1, 3), F.lit(" "), F.substring(p, 4, 2))
+    t = w.point.select("point_id", market.alias("market"), said.alias("said")).withColumn("norm", international.norm_postcode(F.col("said"), F.col("market")))
+    return t.select("point_id", "market", "norm", international.local_postcode(F.col("norm"), F.col("market")).alias("local"))
+
+
+@query("""SELECT place_id, upper(name) AS town FROM (SELECT place_id, trim(replace(replace(name, '#', ' '), '  ', ' ')) AS name FROM place)""")
+def town_keys(w):
+    return w.place.select("place_id", international.locality_key(F.concat(F.col("name"), F.lit(" (Old), City"))).alias("town"))
