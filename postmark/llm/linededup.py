@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's set is its distinct words (lower case, cut at spaces; white space at the line's ends doesn't count). Words are ordered by
-rarity: by class of frequency over all lines, then longer before shorter, then by hash. Any two
+rarity: by class of frequency over all texts, then longer before shorter, then by hash. Any two
 lines with Jaccard similarity of ``percent`` / 100 or more share a word among the first
 n - ceil(percent * n / 100) + 1 of this order (prefix filter); the length filter and the
 positional filter at the shared word prune pairs, and so does a bitmap filter (64 parity bits of the
@@ -29,6 +29,8 @@ from .tables import drop, read, release, shared_dir, store
 PERCENT = 85
 #: Words ranked among the most frequent this many form classes of their own; the last bounds what the driver gathers.
 CLASSES = (64, 1024, 16384)
+#: Longer words (in bytes) belong to no class: they sort as rare uncounted.
+COUNTED_BYTES = 12
 _LAST = (1 << 63) - 1
 
 
@@ -52,10 +54,25 @@ def _rows(docs: DataFrame) -> DataFrame:
     return lines.select("d", "r", "line_no", _norm("line").alias("line")).where("line <> ''")
 
 
-def frequent(docs: DataFrame, n: int = CLASSES[-1]) -> list[int]:
-    """The codes of the ``n`` most frequent words of all texts, most frequent first."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(_code(F.col("w")).alias("w"))
-    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n).collect()]
+def frequent(docs: DataFrame, folder: str, n: int = CLASSES[-1]) -> list[int]:
+    """The codes of the up to ``n`` most frequent counted words of all texts, most frequent first.
+
+    A histogram of the counts gives the least count that at most 4 n words reach, so that the driver never gathers more than those.
+    """
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(F.octet_length("w").between(1, COUNTED_BYTES))
+    counts = store(words.select(_code(F.col("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), folder, "counts")
+    bins = counts.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("b")).collect()
+    total, least = 0, None
+    for r in bins:
+        total += r["c"]
+        if total > 4 * n:
+            break
+        least = r["b"]
+    if least is None:
+        return []
+    top = counts.where(F.floor(F.log2("n") * 4) >= least).collect()
+    drop(docs.sparkSession, f"{folder}/counts")
+    return [r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))[:n]]
 
 
 def _ordered(codes: str, common: list[int]):
@@ -69,8 +86,8 @@ def _ordered(codes: str, common: list[int]):
             inner += f" when c in ({said(part)}) then c + {(len(CLASSES) - k) << 61}L"
         low = high
     found = f"case{inner} else c + {1 << 61}L end"
-    # most words are in no class, so one look-up settles them
-    return F.expr(f"sort_array(transform({codes}, c -> case when c in ({said(common)}) then {found} else c end))")
+    # longer words sort below every counted one, and most others are in no class: one look-up settles them
+    return F.expr(f"sort_array(transform({codes}, c -> case when c < {(31 - COUNTED_BYTES) << 56}L then c when c in ({said(common)}) then {found} else c end))")
 
 
 def _name():
@@ -121,7 +138,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, folder: str, name: str, percent:
 def removed_lines(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """(d, r, gone): for each document that loses lines, their numbers from 0."""
     spark = docs.sparkSession
-    sets = store(entries(docs, frequent(docs), percent), folder, "sets")
+    sets = store(entries(docs, frequent(docs, folder), percent), folder, "sets")
     release(spark)
     later = (F.col("yd") > F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") > F.col("xl")))
 
