@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
+Vectors are lifted to one norm for hashing: the greatest norm M among all rows, with sqrt(M^2 - |v|^2) as one more
+coordinate, and queries are scaled to M with 0 there, so that the largest inner product is the least distance whatever the norms are.
+
 Each of ``TABLES`` tables hashes a vector by ``k`` random projections cut into cells of one width. A query
 visits its own bucket and perturbed ones (each cell index moved by -1, 0 or 1) in order of estimated
 success: the sum of squared distances from its projections to the borders crossed. The number
 of probes is the least that finds ``target`` of the true neighbours on a bounded sample
-(``SAMPLE`` vectors by least hash), where neighbours are farther than among all rows. All
+(``SAMPLE`` vectors by least hash), where neighbours are farther than among all rows. Where all 3**k moves
+together find fewer, there are fewer projections, down to none: an exhaustive search. A query for which the probes find
+fewer than asked for visits every bucket of the first table, which holds every row. All
 rows are indexed; candidates of all tables are merged and ranked by exact inner product.
 
 A bucket of more than ``CELL`` vectors is split into cells by hash of vec_id, and a query visits them all, so
@@ -36,20 +41,27 @@ EXHAUSTIVE, BUCKET, CELL, GROUP, QUERIES = 1024, 512, 4096, 40_000, 10_000
 
 @dataclass
 class Hashing:
-    """The projections (tables, k, dimensions), offsets, the cell width and all moves of k cell indices."""
+    """The projections (tables, k, dimensions and the lifted one), offsets, the cell width and the norm that vectors are lifted to."""
 
     a: np.ndarray
     b: np.ndarray
     width: float
+    norm: float
     probes: int = 1
 
     @property
     def k(self) -> int:
         return self.a.shape[1]
 
-    def places(self, v: np.ndarray) -> np.ndarray:
-        """(rows, tables, k) positions in units of the width."""
-        return (np.einsum("nd,tkd->ntk", v.astype(np.float64), self.a) + self.b) / self.width
+    def places(self, v: np.ndarray, asked: bool = False) -> np.ndarray:
+        """(rows, tables, k) positions in units of the width, of vectors or of queries (``asked``)."""
+        v = v.astype(np.float64)
+        square = (v**2).sum(1)
+        if asked:
+            v, lift = v * (self.norm / np.sqrt(square))[:, None], np.zeros(len(v))
+        else:
+            lift = np.sqrt(np.maximum(self.norm**2 - square, 0))
+        return (np.einsum("nd,tkd->ntk", v, self.a[..., :-1]) + lift[:, None, None] * self.a[..., -1] + self.b) / self.width
 
     def names(self, cells: np.ndarray) -> np.ndarray:
         """A 64-bit name for each (…, k) vector of cell indices."""
@@ -60,7 +72,7 @@ class Hashing:
 
     def visits(self, v: np.ndarray, probes: int) -> np.ndarray:
         """(rows, tables, probes) bucket names in order of estimated success."""
-        place = self.places(v)
+        place = self.places(v, asked=True)
         cell = np.floor(place).astype(np.int64)
         x = place - cell
         moves = np.array(np.meshgrid(*[[0, -1, 1]] * self.k, indexing="ij")).reshape(self.k, -1).T if self.k else np.zeros((1, 0), int)
@@ -84,30 +96,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
 
-def fit(rows: DataFrame, count: int, dimensions: int, k_near: int, target: float = TARGET, seed: int = 3) -> Hashing:
-    """Projections for ``count`` vectors, and the number of probes measured on the sample."""
+def measured(v: np.ndarray, norm: float, k: int, k_near: int, target: float, seed: int = 3) -> Hashing:
+    """At most ``k`` projections by which ``target`` of the true neighbours within ``v`` can be found, and the least number of probes that finds them."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    k = 0 if count <= EXHAUSTIVE else min(MOST_PROJECTIONS, max(1, int(np.ceil(np.log2(count / BUCKET) / 1.8))))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
-    v = _matrix(sample.column("embedding"), dimensions).astype(np.float64) if sample.num_rows else np.zeros((0, dimensions))
-    scale = float(np.sqrt((v**2).sum(1).mean())) if len(v) else 1.0
-    h = Hashing(rng.normal(size=(TABLES, k, dimensions)), rng.uniform(0, WIDTH * scale, (TABLES, k)), WIDTH * scale)
-    if not k:
-        h.a, h.b = h.a[:1], h.b[:1]  # one bucket; one table is all
-        return h
+    width = WIDTH * norm
+    a, b = rng.normal(size=(TABLES, k, v.shape[1])), rng.uniform(0, width, (TABLES, k))
+    a = np.concatenate((a, rng.normal(size=(TABLES, k, 1))), axis=2)
     queries = v[:SAMPLE_QUERIES]
     score = queries @ v.T
     score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k_near, len(v) - 1)]
-    own = h.names(np.floor(h.places(v)).astype(np.int64))
-    visits = h.visits(queries, 3**k)
-    rank = np.full(near.shape, 3**k + 1)
-    for q in range(len(queries)):
-        for t in range(TABLES):
-            at = {n: r for r, n in reversed(list(enumerate(visits[q, t].tolist())))}
-            rank[q] = np.minimum(rank[q], [at.get(n, 3**k + 1) for n in own[near[q], t].tolist()])
-    h.probes = min(int(np.quantile(rank.ravel(), target, method="higher")) + 1, 3**k)
-    return h
+    near = np.argsort(-score, axis=1)[:, : min(k_near, len(v) - 1)] if len(v) else np.zeros((0, 0), int)
+    while k:
+        h = Hashing(a[:, :k], b[:, :k], width, norm)
+        own = h.names(np.floor(h.places(v)).astype(np.int64))
+        visits = h.visits(queries, 3**k)
+        rank = np.full(near.shape, 3**k)
+        for q in range(len(queries)):
+            for t in range(TABLES):
+                at = {n: r for r, n in reversed(list(enumerate(visits[q, t].tolist())))}
+                rank[q] = np.minimum(rank[q], [at.get(n, 3**k) for n in own[near[q], t].tolist()])
+        h.probes = int(np.quantile(rank.ravel(), target, method="higher")) + 1
+        if h.probes <= 3**k:
+            return h
+        k -= 1  # out of reach of all moves
+    return Hashing(a[:1, :0], b[:1, :0], width, norm)  # one bucket; one table is all
+
+
+def fit(rows: DataFrame, count: int, norm: float, dimensions: int, k_near: int, target: float = TARGET, seed: int = 3) -> Hashing:
+    """Projections for ``count`` vectors of norms up to ``norm``, and the number of probes measured on the sample."""
+    k = 0 if count <= EXHAUSTIVE else min(MOST_PROJECTIONS, max(1, int(np.ceil(np.log2(count / BUCKET) / 1.8))))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if k else 0).select("vec_id", "embedding").toArrow()
+    v = _matrix(sample.column("embedding"), dimensions).astype(np.float64) if sample.num_rows else np.zeros((0, dimensions))
+    return measured(v, norm, k, k_near, target, seed)
 
 
 def _best(query: np.ndarray, query_id: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
@@ -142,8 +162,8 @@ def search(rows: DataFrame, is_query, k_near: int = 20, target: float = TARGET,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = sizes["n"]
     rows = _valid(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), d)
-    count = rows.count()
-    shared = spark.sparkContext.broadcast(fit(rows, count, d, k_near, target))
+    count, square = rows.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
+    shared = spark.sparkContext.broadcast(fit(rows, count, float(np.sqrt(square or 1.0)), d, k_near, target))
     tables, probes = shared.value.a.shape[0], shared.value.probes
 
     def placed(batches):
@@ -173,12 +193,7 @@ def search(rows: DataFrame, is_query, k_near: int = 20, target: float = TARGET,
     cell = F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int")
     vectors = index.join(buckets, ["t", "bucket"]).withColumn("cell", cell).select(group, name, "vec_id", "embedding")
     vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # a probe of an empty bucket ends here
-    probe = queries.mapInArrow(visited, "query_id long, t int, bucket long").join(buckets, ["t", "bucket"])
-    probe = probe.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("query_id", group, name)
-    asked = probe.groupBy("query_id", "g").agg(F.collect_set("place").alias("places"))
-    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"]), "query_id")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    own = queries.select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -212,10 +227,27 @@ def search(rows: DataFrame, is_query, k_near: int = 20, target: float = TARGET,
         keep = np.arange(len(q)) - np.searchsorted(q, q) < k_near
         return pa.table({"query_id": q[keep], "vec_id": v[keep], "score": s[keep]})
 
-    found = asked.groupBy("g", "block").cogroup(vectors.groupBy("g", "block")).applyInArrow(meet, schema)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k_near).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def best(probe: DataFrame) -> DataFrame:
+        """The k_near best of each query among the buckets that ``probe`` (query_id, t, bucket, cells) visits."""
+        probe = probe.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("query_id", group, name)
+        asked = probe.groupBy("query_id", "g").agg(F.collect_set("place").alias("places")).join(own, "query_id")
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        found = asked.groupBy("g", "block").cogroup(vectors.groupBy("g", "block")).applyInArrow(meet, schema)
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k_near).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    # a probe of an empty bucket ends here
+    found = best(queries.mapInArrow(visited, "query_id long, t int, bucket long").join(buckets, ["t", "bucket"]))
+    if tables == 1:
+        return found
+    found = store(found, folder, "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k_near)
+    short = store(own.select("query_id").join(full, "query_id", "left_anti"), folder, "short")
+    if short.isEmpty():
+        return found
+    rest = best(short.crossJoin(buckets.where("t = 0")))
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,49 @@ def test_nearest_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def _recall(v, every, found_by):
+    hits = 0
+    for q in range(0, len(v), every):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & found_by.get(q, set()))
+    return hits / (20 * len(range(0, len(v), every)))
+
+
+def test_nearest_vectors_of_unequal_norm(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    v = rng.normal(size=(6000, 32))
+    v *= (np.exp(0.5 * rng.normal(size=6000)) / np.linalg.norm(v, axis=1))[:, None]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert _recall(v, 50, got) >= 0.93
+
+
+def test_nearest_vectors_of_a_lonely_query(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    v = np.eye(16)[0] + 0.03 * rng.normal(size=(3000, 16))
+    v[:5] = 0.03 * rng.normal(size=(5, 16)) - np.eye(16)[0]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") < 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: len(found) for q, found in got.items()} == {q: 20 for q in range(10)}
+    for q in range(5):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[:20].tolist()
+
+
+def test_projections_give_way_where_no_move_reaches(monkeypatch):
+    monkeypatch.setattr(ann, "WIDTH", 0.2)  # of the norm: neighbours are many cells apart
+    v = np.random.Generator(np.random.PCG64(7)).normal(size=(2000, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    h = ann.measured(v, 1.0, 5, 20, 0.95)
+    assert h.k < 5 and h.probes <= 3**h.k
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     got = {(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect()}
