@@ -37,6 +37,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that end an open paragraph.
+_AFTER_P = _BLOCK - frozenset("body br button caption frameset head html label legend optgroup option select tbody td tfoot th thead tr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("nav footer aside form head menu button select dialog fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -93,6 +95,20 @@ def lines(html: str) -> list[tuple[str, int]]:
             if text:
                 out.append((text, article))
 
+    def close() -> str:
+        """Ends the innermost element."""
+        nonlocal skip, article, depth
+        tag, region, opens = stack.pop()
+        if region:
+            skip -= 1
+            if not skip:
+                out.extend([("", article)] * WINDOW)
+        if opens:
+            depth -= 1
+            if not depth:
+                article = 0
+        return tag
+
     at = 0
     for m in _TOKEN.finditer(html):
         if not skip and m.start() > at:
@@ -106,22 +122,18 @@ def lines(html: str) -> list[tuple[str, int]]:
             end()
         if m[2]:
             if any(t == tag for t, _, _ in reversed(stack)):
-                while True:
-                    t, region, opens = stack.pop()
-                    if region:
-                        skip -= 1
-                        if not skip:
-                            out += [("", article)] * WINDOW
-                    if opens:
-                        depth -= 1
-                        if not depth:
-                            article = 0
-                    if t == tag:
-                        break
-        elif tag not in _VOID:
-            if tag == "p":  # a paragraph ends the one before
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
+                while close() != tag:
+                    pass
+            continue
+        if skip and tag in _AFTER_P:  # only stripped paragraphs are in the stack
+            for t, _, _ in reversed(stack):
+                if t == "p":
+                    while close() != "p":
+                        pass
+                    break
+                if t in _BLOCK:
+                    break
+        if tag not in _VOID:
             region = _apart(tag, m[4], depth > 0)
             opens = tag in _HEADINGS and not skip
             if region:

@@ -189,6 +189,21 @@ def test_main_text(page, text):
         assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class="notice">n<p>before</p><article><p>x</p></article>', "x"),
+        ('<p class="notice">n<article><p>x</p><p>y</p></article>', "x\ny"),
+        ('<article><p>x</p><p class="notice">n<p>y</p><p>z</p></article>', "x\ny\nz"),
+        ('<article><p>x</p><p class="notice"><b>n<h2>y</h2><p>z</article>', "x\ny\nz"),
+        ('<article><p>x</p><p class="notice">n <span>n</span> n</p><p>y</p></article>', "x\ny"),
+        ('<article><p>x</p><div class="notice"><p>n<p>n</div><p>y</p></article>', "x\ny"),
+    ],
+)
+def test_unclosed_stripped_paragraph_ends_at_the_next(page, text):
+    assert html.extract(page) == text
+
+
 def test_linked_is_a_spanning_forest_of_exact_links():
     rng = random.Random(4)
     for n in (2, 5, 30):
