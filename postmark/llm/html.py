@@ -4,9 +4,13 @@ Markup is stripped to lines: a block-level tag or a line break ends a line. Regi
 names as apart from the article (scripts, styles, menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments) leave a stretch of empty lines. Over the line lengths a
 window of ``WINDOW`` lines is summed; text begins where the sum surges and ends where it dives
-to nothing. Where the page marks an article (or main) element that holds text, lines outside
-the one with most text are empty too, so that the surge and the dive are the article's borders;
-otherwise the stretch with most text is kept, and others that are at least half as long.
+to nothing. The borders of an article (or main) element are dives, too.
+
+On every page the stretches between surge and dive choose the text: the article with most text in its stretches, or a
+stretch outside of articles if it has more. All lines of the chosen container are kept, those before the surge and after later dives
+included: of the article element, or else of the innermost section-like element that holds over half of the stretch. Outside
+of articles other stretches that are at least half as long are kept as well. Only on pages too short for any window to reach ``SURGE``
+lines outside of articles don't count where an article holds text.
 
 Null and empty pages give the empty text, as do pages whose lines are all boilerplate. Malformed
 markup is read as far as it goes: an unclosed element ends with its parent. Nothing between surge and dive is dropped.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +60,8 @@ _OTHER = frozenset("ad ads advert advertisement comment comments promo promoted
 _ABOUT = re.compile(r"^(has|with|no|without|show|hide|is|js)[-_]", re.I)
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HEADINGS = ("article", "main")
+#: Elements that hold a text as a whole, besides the page itself.
+_BOXES = frozenset("article body center div main section td th".split())
 
 
 def _apart(tag: str, attrs: str, inside: bool) -> bool:
@@ -78,35 +85,43 @@ def _apart(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int]]:
-    """(text, article) of each line; article numbers the outermost article or main element it is in, 0 for none.
+def lines(html: str) -> tuple[list[tuple[str, int, int]], list[int]]:
+    """(text, article, box) of each line, and the parent of each box.
 
-    Stripped regions stand as ``WINDOW`` empty lines.
+    article is the box of the outermost article or main element that the line is in, 0 for none; box is the innermost container, 0 for
+    the page. Boxes are numbered in their order. Stripped regions and the borders of articles stand as ``WINDOW`` empty lines.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
+    parents = [0]
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, begins a stripped region, begins an article
-    skip, article, articles, depth = 0, 0, 0, 0
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, begins a stripped region, begins an article, the box around it
+    skip, article, box, depth = 0, 0, 0, 0
+
+    def gap() -> None:
+        out.extend([("", article, box)] * WINDOW)
 
     def end() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, article))
+                out.append((text, article, box))
 
     def close() -> str:
         """Ends the innermost element."""
-        nonlocal skip, article, depth
-        tag, region, opens = stack.pop()
+        nonlocal skip, article, box, depth
+        if stack[-1][0] in _BLOCK:
+            end()
+        tag, region, opens, box = stack.pop()
         if region:
             skip -= 1
             if not skip:
-                out.extend([("", article)] * WINDOW)
+                gap()
         if opens:
             depth -= 1
             if not depth:
                 article = 0
+                gap()
         return tag
 
     at = 0
@@ -121,12 +136,12 @@ def lines(html: str) -> list[tuple[str, int]]:
         if tag in _BLOCK:
             end()
         if m[2]:
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if any(t == tag for t, *_ in reversed(stack)):
                 while close() != tag:
                     pass
             continue
         if skip and tag in _AFTER_P:  # only stripped paragraphs are in the stack
-            for t, _, _ in reversed(stack):
+            for t, *_ in reversed(stack):
                 if t == "p":
                     while close() != "p":
                         pass
@@ -135,44 +150,66 @@ def lines(html: str) -> list[tuple[str, int]]:
                     break
         if tag not in _VOID:
             region = _apart(tag, m[4], depth > 0)
-            opens = tag in _HEADINGS and not skip
+            opens = tag in _HEADINGS and not skip and not region
+            if tag != "p" or region:
+                stack.append((tag, region, opens, box))
             if region:
                 end()
                 skip += 1
-            elif opens:
+            elif not skip and tag in _BOXES:
+                if opens and not depth:
+                    gap()
+                parents.append(box)
+                box = len(parents) - 1
+            if opens:
                 depth += 1
                 if depth == 1:
-                    articles += 1
-                    article = articles
-            if tag != "p" or region:
-                stack.append((tag, region, opens and not region))
+                    article = box
     if not skip and at < len(html):
         parts.append(html[at:])
     end()
-    return out
+    return out, parents
+
+
+def _windows(size: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The line lengths, their running totals and the sum of the window that begins at each line."""
+    n = len(size)
+    total = [0, *accumulate(size)]
+    return size, total, [total[min(i + WINDOW, n)] - total[i] for i in range(n)]
+
+
+def _first(size: list[int], i: int) -> int:
+    """The first line from ``i`` on that isn't empty."""
+    while not size[i]:
+        i += 1
+    return i
+
+
+def _container(stretch: list[tuple[str, int, int]], parents: list[int]) -> int:
+    """The innermost box that holds over half of the stretch's text."""
+    inside = [0] * len(parents)
+    for text, _, box in stretch:
+        inside[box] += len(text)
+    half = sum(inside) / 2
+    for box in range(len(parents) - 1, 0, -1):  # those within a box come after it
+        if inside[box] > half:
+            return box
+        inside[parents[box]] += inside[box]
+    return 0
 
 
 def extract(html: str | None) -> str:
     """The main text of a page, its blocks joined by line breaks."""
     if not html:
         return ""
-    found = lines(html)
-    inside: dict[int, int] = {}
-    for text, article in found:
-        if article:
-            inside[article] = inside.get(article, 0) + len(text)
-    best = max(inside, key=lambda a: (inside[a], -a), default=0)
-    marked = best > 0 and inside[best] > 0
-    texts = [text if not marked or article == best else "" for text, article in found]
-    size = [len(t) for t in texts]
-    n = len(size)
-    total = [0]
-    for s in size:
-        total.append(total[-1] + s)
-    sums = [total[min(i + WINDOW, n)] - total[i] for i in range(n)]
+    found, parents = lines(html)
+    size, total, sums = _windows([len(t) for t, _, _ in found])
     if not any(sums):
         return ""
-    surge = 1 if marked else min(SURGE, (max(sums) + 1) // 2)
+    if max(sums) < SURGE and any(t and a for t, a, _ in found):
+        size, total, sums = _windows([len(t) if a else 0 for t, a, _ in found])
+    n = len(size)
+    surge = min(SURGE, (max(sums) + 1) // 2)
     stretches: list[tuple[int, int]] = []
     i = 0
     while i < n:
@@ -186,10 +223,25 @@ def extract(html: str | None) -> str:
             j += 1
         stretches.append((i, j))
         i = j + 1
-    if not marked:
-        most = max(total[j] - total[i] for i, j in stretches)
-        stretches = [(i, j) for i, j in stretches if 2 * (total[j] - total[i]) >= most]
-    return "\n".join(texts[k] for i, j in stretches for k in range(i, j) if texts[k])
+    # the text of each article's stretches and of each other stretch
+    length: dict[tuple[int, int], int] = {}
+    for i, j in stretches:
+        article = found[_first(size, i)][1]
+        key = (article, 0) if article else (0, i)
+        length[key] = length.get(key, 0) + total[j] - total[i]
+    article, begin = max(length, key=length.__getitem__)
+    end = dict(stretches).get(begin, begin)
+    home = article or _container(found[begin:end], parents)
+    kept = [False] * len(parents)
+    kept[home] = True
+    for b in range(home + 1, len(parents)):
+        kept[b] = kept[parents[b]]
+    keep = [kept[b] for _, _, b in found]
+    if not article:
+        for i, j in stretches:
+            if 2 * (total[j] - total[i]) >= length[article, begin]:
+                keep[i:j] = [True] * (j - i)
+    return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if t and k)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -204,6 +204,26 @@ def test_unclosed_stripped_paragraph_ends_at_the_next(page, text):
     assert html.extract(page) == text
 
 
+LONG, SHORT, AD = ("long text " * 30).strip(), ("end of it " * 10).strip(), '<div class="ad">buy</div>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div><p>{LONG}</p>{AD}<p>{SHORT}</p></div></body>", f"{LONG}\n{SHORT}"),
+        (f"<div><h1>T</h1>{AD}<p>{LONG}</p>{AD}<p>{SHORT}</p>{AD}<p>z</p></div>", f"T\n{LONG}\n{SHORT}\nz"),
+        (f"<div><p>{LONG}</p></div>{AD}<div><p>{SHORT}</p></div>", LONG),
+        (f"<article><h1>T</h1>{AD}<p>{LONG}</p>{AD}<p>z</p></article>", f"T\n{LONG}\nz"),
+        (f"<div><p>{SHORT}</p></div><article><p>{LONG}</p></article><div><p>{SHORT}</p></div>", LONG),
+        (f"<article><p>teaser</p></article><div><p>{LONG}</p><p>{SHORT}</p></div>", f"{LONG}\n{SHORT}"),  # the windows choose, not the element
+        (f"<article><p>{LONG}</p>{AD}<p>{LONG}</p></article><div><p>{LONG} {SHORT}</p></div>", f"{LONG}\n{LONG}"),
+        ("<div><p>longer than it</p></div><article><p>x</p></article>", "x"),
+    ],
+)
+def test_surge_and_dive_choose_on_every_page(page, text):
+    assert html.extract(page) == text
+
+
 def test_linked_is_a_spanning_forest_of_exact_links():
     rng = random.Random(4)
     for n in (2, 5, 30):
