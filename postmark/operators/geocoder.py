@@ -32,3 +32,9 @@ def national_recall(probes: DataFrame, points: DataFrame, most: int = 3000) -> D
     rest = probes.join(first.select("id").distinct(), "id", "left_anti").select("id", "nkey", "s3").join(p, ["nkey", "s3"])
     rest = rest.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("point_id"))).where(F.col("r") <= most).select("id", "point_id", F.lit("prefix").alias("route"))
     return first.unionByName(rest)
+
+
+def homonyms(places: DataFrame, most: int = 40) -> DataFrame:
+    """Of the places that share a name, the ``most`` of most people (ties to the least place_id) and all with the flag ``in_pilot``."""
+    r = F.row_number().over(W.partitionBy("name").orderBy(F.desc_nulls_last("population"), "place_id"))
+    return places.withColumn("r", r).where((F.col("r") <= most) | F.col("in_pilot")).drop("r")

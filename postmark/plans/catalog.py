@@ -304,6 +304,21 @@ def trigram_top_keys(w):
     return recall.trigram_candidates(q, w.street.select(F.col("name").alias("key")), top=5)
 
 
+@query("""
+, k AS (SELECT DISTINCT name AS key FROM street), q AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5) AS query FROM street),
+g AS (SELECT DISTINCT key, substr('  ' || key || ' ', i::INT, 3) AS gram FROM (SELECT key, unnest(range(1, length(key) + 2)) AS i FROM k)),
+h AS (SELECT DISTINCT query, substr('  ' || query || ' ', i::INT, 3) AS gram FROM (SELECT query, unnest(range(1, length(query) + 2)) AS i FROM q)),
+d AS (SELECT gram, count(*) > (SELECT greatest(2000, count(*) * 0.05) FROM k) AS common FROM g GROUP BY gram),
+o AS (SELECT query, gram, common, bool_and(common) OVER (PARTITION BY query) AS alone FROM h JOIN d USING (gram)),
+s AS (SELECT query, key, count(*) AS shared FROM o JOIN g USING (gram) WHERE NOT common OR alone GROUP BY query, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, key) AS r FROM s)
+SELECT query, key, shared FROM r WHERE r <= 60""")
+def trigram_recall(w):
+    """trigram_top_keys with the reference's 60 keys a query."""
+    q = w.street.select(F.concat(F.substring("name", 1, 3), F.expr("substr(name, 5)")).alias("query"))
+    return recall.trigram_candidates(q, w.street.select(F.col("name").alias("key")))
+
+
 _HAVERSINE = "2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
 
 
@@ -471,6 +486,17 @@ def gazetteer_top_homonyms(w):
     return w.place.withColumn("r", r).where("r <= 3").select("area_id", "place_id", "population")
 
 
+@query("""
+, g AS (SELECT *, coalesce(lat BETWEEN 1.1 AND 1.3 AND lng BETWEEN 103.1 AND 103.3, false) AS in_pilot FROM place),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY population DESC NULLS LAST, place_id) AS r FROM g)
+SELECT name, place_id, population, in_pilot FROM r WHERE r <= 40 OR in_pilot""")
+def gazetteer_homonyms(w):
+    """The reference's gazetteer: of the places of one name the 40 of most people, and all within the pilot's box."""
+    pilot = F.col("lat").between(1.1, 1.3) & F.col("lng").between(103.1, 103.3)
+    g = w.place.select("name", "place_id", "population", F.coalesce(pilot, F.lit(False)).alias("in_pilot"))
+    return geocoder.homonyms(g).select("name", "place_id", "population", "in_pilot")
+
+
 @query("""
 , e AS (SELECT a.street_id AS a, b.street_id AS b FROM street AS a JOIN street AS b ON a.name = b.name AND abs(a.lat - b.lat) < 0.05 AND a.street_id < b.street_id),
 n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
@@ -739,6 +765,19 @@ def national_recall_union(w):
     return geocoder.national_recall(probes, points, most=5)
 
 
+@query("""
+, p AS (SELECT input_id AS id, number::VARCHAR AS nkey, CASE WHEN input_id % 3 = 0 THEN '999999' ELSE truth_postal END AS postcode, substr(name, 1, 3) AS s3 FROM input),
+a AS (SELECT p.id, t.point_id, 'postcode' AS route FROM p JOIN point AS t ON t.blk = p.nkey AND t.postal = p.postcode),
+b AS (SELECT p.id, t.point_id, row_number() OVER (PARTITION BY p.id ORDER BY t.point_id) AS r FROM p JOIN point AS t ON t.blk = p.nkey AND substr(t.name, 1, 3) = p.s3 WHERE p.id NOT IN (SELECT id FROM a))
+SELECT * FROM a UNION ALL SELECT id, point_id, 'prefix' FROM b WHERE r <= 5000""")
+def national_recall_all(w):
+    """national_recall_union with the reference's 5,000 prefix rows an input."""
+    code = F.when(F.col("input_id") % 3 == 0, "999999").otherwise(F.col("truth_postal"))
+    probes = w.input.select(F.col("input_id").alias("id"), F.col("number").cast("string").alias("nkey"), code.alias("postcode"), F.substring("name", 1, 3).alias("s3"))
+    points = w.point.select("point_id", F.col("blk").alias("nkey"), F.col("postal").alias("postcode"), F.substring("name", 1, 3).alias("s3"))
+    return geocoder.national_recall(probes, points, most=5000)
+
+
 @query("""
 , e AS (SELECT input_id AS id, 3.0 AS weight, truth_postal < '050000' AS within FROM input WHERE input_id % 2 = 0 UNION ALL SELECT i.input_id, 2.0, s.area_id < 15 FROM input AS i JOIN street AS s USING (street_id) WHERE i.input_id % 5 <> 0
   UNION ALL SELECT i.input_id, 1.0, p.population > 20000 FROM input AS i JOIN street AS s USING (street_id) JOIN place AS p ON p.area_id = s.area_id WHERE i.input_id % 7 = 0),
