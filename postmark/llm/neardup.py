@@ -10,8 +10,8 @@ still large at ``max_depth`` is compared exhaustively too, in blocks against blo
 the same members are compared once. A comparison emits a spanning forest of its exact links.
 
 A pair at similarity s shares a node of a tree with probability s ** depth at least, if no node
-on its way is large: at the defaults 0.75 is missed by all trees with probability
-(1 - 0.75 ** 4) ** 28 < 0.00003, a greater similarity far more seldom. A node of two members is dropped
+on its way is large. All trees pick from the same signature, so their misses aren't independent: at the defaults 0.75 is missed by all
+with probability 0.0002, the mean of (1 - x ** 4) ** 28 over the share x of equal ones among 128 coordinates; a greater similarity far more seldom. A node of two members is dropped
 unread where their one-bit sketches differ in more than ``APART`` places.
 
 Null and empty texts have an empty set, are linked with nothing and stay. A text of fewer than five
