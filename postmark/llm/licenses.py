@@ -28,8 +28,8 @@ from .tables import read
 #: Phrases that give a label by themselves.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices in template markup. Wording of public licenses, fixed values.
-TEMPLATES = {
+#: Notices in template markup, among them the openings of license texts. Wording of public licenses, fixed values.
+NOTICES = {
     "mit-notice": '<<var;match="released|licensed|distributed|available|provided">> under the <<beginOptional>>terms of the<<endOptional>> mit license',
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "apache-2.0": '<<var;match="released|licensed|distributed|available">> under the <<beginOptional>>terms of the<<endOptional>> apache license <<beginOptional>>version<<endOptional>> 2.0',
@@ -44,6 +44,45 @@ TEMPLATES = {
     "mpl-2.0": 'this source code form is subject to the terms of the mozilla public license <<var;match="v|version">> <<beginOptional>>.<<endOptional>> 2.0',
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+
+
+def _bsd(*clauses: str) -> str:
+    said = (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        *clauses,
+    )
+    numbered = " ".join(f'<<beginOptional>><<var;match="{k + 1}|{"abcd"[k]}|{("i", "ii", "iii", "iv")[k]}">><<endOptional>> {c}' for k, c in enumerate(said))
+    return (
+        f"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {numbered} "
+        'this software is provided by <<var;any="1,20">> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed '
+        'in no event shall <<var;any="1,20">> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption '
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+    )
+
+
+_ENDORSE = 'neither the name of <<var;any="1,20">> nor the names of <<var;match="its|their">> contributors may be used to endorse or promote products derived from this software without specific prior written permission'
+_ADVERTISE = 'all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var;any="1,20">>'
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_CLAIM = "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+#: The whole mandatory wording of license texts, with names as replaceable regions.
+TEXTS = {
+    "mit-whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to "
+    "use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+    f"<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software {_AS_IS} in no event shall <<var;any=\"1,20\">> {_CLAIM}",
+    "bsd-2-clause": _bsd(),
+    "bsd-3-clause": _bsd(_ENDORSE),
+    "bsd-4-clause": _bsd(_ADVERTISE, _ENDORSE),
+    "isc-whole": "permission to use copy modify <<beginOptional>>and<<endOptional>> <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+    'permission notice appear in all copies the software is provided as is and <<var;any="1,20">> <<var;match="disclaims|disclaim">> all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall '
+    '<<var;any="1,20">> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in '
+    "connection with the use or performance of this software",
+    "unlicense-whole": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+    "commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the "
+    "benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+    f"{_AS_IS} in no event shall the authors {_CLAIM}",
+}
+TEMPLATES = NOTICES | TEXTS
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -247,12 +286,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The given SQL: notices only, without ``TEXTS``."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     base = ", ".join(
         f"list_transform(list_filter(range(0, len(w) - {len(ws) - 1}), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(ws)) + f"), lambda i: {{'at': i, 'label': '{label}'}})"
         for phrase, label in BASE.items() for ws in [phrase.split(" ")]
     )
-    method = ", ".join(f"CASE WHEN regexp_matches(joined, ' {pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    method = ", ".join(f"CASE WHEN regexp_matches(joined, ' {pattern(t)}') THEN '{label}' END" for label, t in NOTICES.items())
     return f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 u AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, flatten([{base}]) AS hits FROM t),

@@ -109,6 +109,37 @@ def test_templates_match_as_their_patterns_do():
     assert found > 100
 
 
+_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+_KEEP = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"""
+_AD = "{}. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Example Group.\n"
+_NAME = "{}. Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (_GRANT + _KEEP + _END, "bsd,bsd-2-clause"),
+        (_GRANT + _KEEP + _NAME.format(3) + _END, "bsd,bsd-3-clause"),
+        (_GRANT + _KEEP + _AD.format(3) + _NAME.format(4) + _END, "bsd,bsd-4-clause"),
+        (_GRANT + _KEEP + _END.replace("ARE DISCLAIMED", "ARE GIVEN"), "bsd"),
+        (_MIT, "mit-text,mit-whole"), (_MIT.replace("sell copies", "lend copies"), "mit-text"), (_MIT[:400], "mit-text"),
+    ],
+)
+def test_license_texts_match_as_a_whole(text, labels):
+    got = licenses.scan(*kernel.utf8(pa.array(["before it. " + text + " And after."])), licenses.TEMPLATES, licenses.BASE)
+    assert got["labels"] == [labels]
+
+
 def test_unknown_markup_is_refused():
     for bad in ("a <<what>>", "a <<beginOptional>> b", '<<var;any="0,2">> x'):
         with pytest.raises((ValueError, IndexError)):
