@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's set is its distinct words (lower case, cut at spaces; white space at the line's ends doesn't count). Words are ordered by
-rarity: by class of frequency over all texts, then longer before shorter, then by hash. Any two
+rarity: all words of all texts are counted in ``BUCKETS`` buckets of their hash, and the rank of its bucket's count is what a word sorts by, then
+its hash. So the driver gathers the same few counts whatever the vocabulary, and a word's place is one look-up. Any two
 lines with Jaccard similarity of ``percent`` / 100 or more share a word among the first
 n - ceil(percent * n / 100) + 1 of this order (prefix filter); the length filter and the
 positional filter at the shared word prune pairs, and so does a bitmap filter (64 parity bits of the
@@ -27,81 +28,71 @@ from pyspark.sql import Window as W
 from .tables import drop, read, release, shared_dir, store
 
 PERCENT = 85
-#: Words ranked among the most frequent this many form classes of their own; the last bounds what the driver gathers.
-CLASSES = (64, 1024, 16384)
-#: Longer words (in bytes) belong to no class: they sort as rare uncounted.
-COUNTED_BYTES = 12
+#: Word counts are kept for 2 ** RANK_BITS buckets of the hash; this bounds what the driver gathers and each task holds.
+RANK_BITS = 16
 _LAST = (1 << 63) - 1
 
 
-def _norm(line):
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+def _trimmed(line):
+    """The line without white space at its ends; the costly trim runs only where there is some."""
+    odd = F.lit(False)
+    for c in " \t\r":
+        odd = odd | line.startswith(c) | line.endswith(c)
+    return F.when(odd, F.btrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
-def _code(w):
-    """A word as a long that sorts longer words first: 5 bits of length in bytes, 56 bits of hash."""
-    return F.shiftleft((31 - F.least(F.octet_length(w), F.lit(31))).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << 56) - 1))
-
-
-def _codes(norm):
-    return F.array_distinct(F.transform(F.split(norm, " "), _code))
+def _codes(line):
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(d, r, line_no, line): every line that isn't blank, normalised, with its document's key."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    lines = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("r"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("d", "r", "line_no", _norm("line").alias("line")).where("line <> ''")
+    lines = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("r"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    return lines.select("d", "r", "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
 
 
-def frequent(docs: DataFrame, folder: str, n: int = CLASSES[-1]) -> list[int]:
-    """The codes of the up to ``n`` most frequent counted words of all texts, most frequent first.
+def _bucket(hashed):
+    return hashed.bitwiseAND((1 << RANK_BITS) - 1)
+
+
+def ranks(docs: DataFrame):
+    """An array Column: for each bucket of word hashes the rank of its count over all texts (0 for the rarest) in the upper bits of a long."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = {r["b"]: r["n"] for r in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    place = {b: k for k, b in enumerate(sorted(range(1 << RANK_BITS), key=lambda b: (counts.get(b, 0), b)))}
+    said = ",".join(str(place[b] << (63 - RANK_BITS)) for b in range(1 << RANK_BITS))
+    return F.split(F.lit(said), ",").cast("array<bigint>")  # folded to one literal when the plan is made
 
-    A histogram of the counts gives the least count that at most 4 n words reach, so that the driver never gathers more than those.
-    """
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(F.octet_length("w").between(1, COUNTED_BYTES))
-    counts = store(words.select(_code(F.col("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), folder, "counts")
-    bins = counts.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("b")).collect()
-    total, least = 0, None
-    for r in bins:
-        total += r["c"]
-        if total > 4 * n:
-            break
-        least = r["b"]
-    if least is None:
-        return []
-    top = counts.where(F.floor(F.log2("n") * 4) >= least).collect()
-    drop(docs.sparkSession, f"{folder}/counts")
-    return [r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))[:n]]
-
-
-def _ordered(codes: str, common: list[int]):
-    """The codes with their frequency class above all else, sorted: rarest word first."""
-    if not common:
-        return F.sort_array(codes)
-    said = lambda ws: ",".join(f"{w}L" for w in ws)
-    inner, low = "", 0
-    for k, high in enumerate(CLASSES[:-1]):
-        if part := common[low:high]:
-            inner += f" when c in ({said(part)}) then c + {(len(CLASSES) - k) << 61}L"
-        low = high
-    found = f"case{inner} else c + {1 << 61}L end"
-    # longer words sort below every counted one, and most others are in no class: one look-up settles them
-    return F.expr(f"sort_array(transform({codes}, c -> case when c < {(31 - COUNTED_BYTES) << 56}L then c when c in ({said(common)}) then {found} else c end))")
+
+def _ordered(line, ranked):
+    """The distinct words as longs that sort by rarity: the rank of the bucket, then as many bits of the hash as are left."""
+
+    def key(w):
+        h = F.xxhash64(w)
+        return F.get(ranked, _bucket(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1))
+
+    return F.sort_array(F.array_distinct(F.transform(F.split(line, " "), key)))
 
 
 def _name():
     return F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")
 
 
-def entries(docs: DataFrame, common: list[int], percent: int) -> DataFrame:
-    """One row a distinct line: its name (k1, k2), first place f, n words, and its prefix."""
-    rows = _rows(docs).select("d", "r", "line_no", *_name(), _codes("line").alias("codes"))
+def entries(docs: DataFrame, ranked, percent: int) -> DataFrame:
+    """One row a distinct line: its name (k1, k2), first place f, times said, n words, parity s, and its prefixes.
+
+    ``prefix`` is what a line shows to lines that aren't longer; of it the first ``short`` words are enough towards lines that aren't shorter.
+    """
+    rows = _rows(docs).select("d", "r", "line_no", *_name(), _ordered("line", ranked).alias("codes"))
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
-    rows = rows.select("d", "r", "line_no", "k1", "k2", parity.alias("s"), _ordered("codes", common).alias("codes"))
     n = F.size("codes")
-    rows = rows.select("d", "r", "line_no", "k1", "k2", "s", n.alias("n"), F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1).alias("prefix"))
-    return rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "line_no", "r")).alias("f"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("prefix").alias("prefix"))
+    prefix = F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
+    # the name settles n, s and the prefix, which are cheaper to group by than to carry along
+    rows = rows.select("d", "r", "line_no", "k1", "k2", parity.alias("s"), n.alias("n"), prefix.alias("prefix"))
+    sets = rows.groupBy("k1", "k2", "n", "s", "prefix").agg(F.min(F.struct("d", "line_no", "r")).alias("f"), F.count("*").alias("times"))
+    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)).cast("int") + 1
+    return sets.withColumn("short", short)
 
 
 def _near(percent: int):
@@ -110,7 +101,8 @@ def _near(percent: int):
     most = 1 + F.least(xn - xi - 1, yn - yi - 1)
     apart = F.bit_count(F.col("xs").bitwiseXOR(F.col("ys")))
     # overlap is at most half of what the words that differ leave of both
-    return (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent) & (most * (100 + percent) >= (xn + yn) * percent) & ((xn + yn - apart) * (100 + percent) >= 2 * (xn + yn) * percent)
+    alike = F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent
+    return alike & (most * (100 + percent) >= (xn + yn) * percent) & ((xn + yn - apart) * (100 + percent) >= 2 * (xn + yn) * percent)
 
 
 _PAIR = ("yd", "yl", "xd", "xl")
@@ -121,8 +113,8 @@ def _similar(docs: DataFrame, pairs: DataFrame, folder: str, name: str, percent:
     ends = pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l")).unionByName(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")))
     wanted = ends.groupBy("d").agg(F.collect_set("l").alias("wanted"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    found = docs.where("text is not null").select(key.alias("d"), "text").join(wanted, "d").select("d", "wanted", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    found = found.where(F.array_contains("wanted", F.col("l"))).select("d", "l", _norm("line").alias("line")).where("line <> ''")
+    found = docs.where("text is not null").select(key.alias("d"), "text").join(wanted.hint("shuffle_hash"), "d").select("d", "wanted", F.posexplode(F.split(F.lower("text"), "\n")).alias("l", "line"))
+    found = found.where(F.array_contains("wanted", F.col("l"))).select("d", "l", _trimmed(F.col("line")).alias("line")).where("line <> ''")
     full = store(found.select("d", "l", *_name(), _codes("line").alias("codes")).distinct(), folder, f"{name}-codes")
     release(docs.sparkSession)
     x = full.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("codes").alias("xc"))
@@ -135,31 +127,59 @@ def _similar(docs: DataFrame, pairs: DataFrame, folder: str, name: str, percent:
     return out
 
 
+def _class(n):
+    return F.length(F.bin(n))
+
+
+def _shown(sets: DataFrame, side: str, short: bool, also=None) -> DataFrame:
+    """One row for each word of the prefix, or of its short part, with the columns of a side of the join.
+
+    Its key is the word together with the size class of the line, and again with that of the size ``also`` where it is another.
+    """
+    words = F.expr("slice(prefix, 1, short)") if short else F.col("prefix")
+    rows = sets.select(F.col("f.d").alias(f"{side}d"), F.col("f.line_no").alias(f"{side}l"), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s"), F.posexplode(words).alias(f"{side}i", "w"))
+    n = F.col(f"{side}n")
+    size = _class(n) if also is None else F.explode(F.array_distinct(F.array(_class(n), _class(also))))
+    return rows.withColumn("size", size).withColumn("w", F.xxhash64("w", "size")).drop("size")
+
+
+def _matches(longer: DataFrame, shorter: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Pairs (y later, x earlier) of a line of ``longer`` and one of ``shorter`` that is no longer and may be similar; with ``few``, the longer are few."""
+    least, most = F.ceil(F.col("yn") * percent / F.lit(100)), F.floor(F.col("xn") * 100 / F.lit(percent))
+    y, x = _shown(longer, "y", short=False, also=least if few else None), _shown(shorter, "x", short=True, also=None if few else most)
+    below = F.struct("xd", "xl") < F.struct("yd", "yl")
+    ordered = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & below)
+    pairs = y.join(x, "w").where(ordered & _near(percent))
+    swap = lambda a, b: F.when(below, F.col(a)).otherwise(F.col(b))
+    return pairs.select(swap("yd", "xd").alias("yd"), swap("yl", "xl").alias("yl"), swap("xd", "yd").alias("xd"), swap("xl", "yl").alias("xl"))
+
+
 def removed_lines(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """(d, r, gone): for each document that loses lines, their numbers from 0."""
     spark = docs.sparkSession
-    sets = store(entries(docs, frequent(docs, folder), percent), folder, "sets")
+    sets = store(entries(docs, ranks(docs), percent), folder, "sets")
     release(spark)
-    later = (F.col("yd") > F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") > F.col("xl")))
-
-    def spread(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.col("f.d").alias(f"{side}d"), F.col("f.line_no").alias(f"{side}l"), F.col("n").alias(f"{side}n"), F.col("s").alias(f"{side}s"), F.posexplode("prefix").alias(f"{side}i", "w"))
-
-    least = F.min(F.struct(F.col("yd").alias("xd"), F.col("yl").alias("xl"), F.col("yn").alias("xn"), F.col("ys").alias("xs"), F.col("yi").alias("xi"))).over(W.partitionBy("w"))
-    first = spread(sets, "y").withColumn("x", least).select("yd", "yl", "yn", "ys", "yi", "x.*").where(later & _near(percent)).select(*_PAIR).distinct()
+    least = F.min(F.struct(*(F.col(f"y{c}").alias(f"x{c}") for c in ("d", "l", "n", "s", "i")))).over(W.partitionBy("w"))
+    first = _shown(sets, "y", short=True).withColumn("x", least).select("yd", "yl", "yn", "ys", "yi", "x.*")
+    first = first.where((F.struct("xd", "xl") < F.struct("yd", "yl")) & _near(percent)).select(*_PAIR).distinct()
     first = store(first, folder, "first")
     release(spark)
     gone = _similar(docs, first, folder, "first", percent)
-    rest = spread(sets.join(gone, ["k1", "k2"], "left_anti"), "y")
-    second = rest.join(spread(sets, "x"), "w").where(later & _near(percent)).select(*_PAIR).distinct()
-    second = store(second.join(first, list(_PAIR), "left_anti"), folder, "second")
+    marked = store(sets.join(gone.withColumn("done", F.lit(True)), ["k1", "k2"], "left"), folder, "marked")
+    drop(spark, f"{folder}/sets")
     release(spark)
-    gone = gone.unionByName(_similar(docs, second, folder, "second", percent)).distinct()
-    verdict = sets.select("k1", "k2", "f").join(gone.withColumn("bad", F.lit(True)), ["k1", "k2"], "left")
-    place = F.struct("d", "line_no", "r")
-    lost = _rows(docs).select("d", "r", "line_no", *_name()).join(verdict, ["k1", "k2"]).where((place != F.col("f")) | F.col("bad"))
+    rest, done = marked.where("done is null"), marked.where("done")
+    # what is gone already may still be the earlier line of a pair
+    second = []
+    for part, (longer, shorter, few) in {"second-a": (rest, marked, False), "second-b": (done, rest, True)}.items():
+        second.append(store(_matches(longer, shorter, percent, few).distinct(), folder, part))
+        release(spark)
+    pairs = second[0].unionByName(second[1]).distinct().join(first, list(_PAIR), "left_anti")
+    bad = gone.unionByName(_similar(docs, store(pairs, folder, "pairs"), folder, "second", percent)).distinct()
+    verdict = marked.select("k1", "k2", "f", "times").join(bad.withColumn("bad", F.lit(True)), ["k1", "k2"], "left").where("bad or times > 1")
+    lost = _rows(docs).select("d", "r", "line_no", *_name()).join(verdict.hint("shuffle_hash"), ["k1", "k2"]).where((F.struct("d", "line_no", "r") != F.col("f")) | F.col("bad"))
     lost = store(lost.groupBy("d", "r").agg(F.collect_set("line_no").alias("gone")), folder, "lost")
-    for name in ("sets", "first", "second", "first-gone", "second-gone"):
+    for name in ("marked", "first", "second-a", "second-b", "pairs", "first-gone", "second-gone"):
         drop(spark, f"{folder}/{name}")
     release(spark)
     return lost
@@ -170,7 +190,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, folder: str | None = No
     folder = folder or shared_dir(docs.sparkSession)
     lost = removed_lines(docs, folder, percent)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("d"), F.xxhash64("text").alias("r")).join(lost, ["d", "r"], "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("d"), F.xxhash64("text").alias("r")).join(lost.hint("shuffle_hash"), ["d", "r"], "left")
     lines = F.split("row.text", "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     counts = {
