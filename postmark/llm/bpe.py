@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .tables import read
 
-#: Distinct chunks remembered by a worker before it starts afresh; bounds its memory.
-REMEMBERED = 400_000
+#: Estimated bytes of chunks and their ids that a worker remembers before it starts afresh.
+REMEMBERED = 48 << 20
+#: Bytes of text encoded together, of new words merged together, and about of decoded text in one batch of rows.
+TEXT_BYTES, WORD_BYTES, OUT_BYTES = 2 << 20, 1 << 19, 2 << 20
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK, _ODD = re.compile(f"[^{_SPACES}]+"), re.compile("[\\x1c-\\x1f]")
 
@@ -76,6 +79,8 @@ class Vocabulary:
         self.cut = regex.compile(cut)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
+        self.remembered = 0
+        self.strings = pa.array(self.symbols, pa.string())
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 for none."""
@@ -167,16 +172,30 @@ class Vocabulary:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that aren't known yet."""
-        if len(self.ids) > REMEMBERED:
+        """Encodes chunks that aren't known yet, so many at a time that the working arrays stay small."""
+        if self.remembered > REMEMBERED:
             self.ids.clear()
-        new = [c for c in chunks if c not in self.ids]
+            self.remembered = 0
+        block: list[str] = []
+        size = 0
+        for c in chunks:
+            if c not in self.ids:
+                block.append(c)
+                size += len(c)
+                if size >= WORD_BYTES:
+                    self._learn(block)
+                    block, size = [], 0
+        self._learn(block)
+
+    def _learn(self, new: list[str]) -> None:
         cut = [self.words_of(c) for c in new]
         words = list({w for ws in cut for w in ws if isinstance(w, str)})
         known: dict[str | int, bytes] = {w: x.tobytes() for w, x in zip(words, self.encode_words([w.encode("utf-8", "surrogatepass") for w in words]), strict=True)}
         known |= {i: i.to_bytes(4, "little") for i in self.special.values()}
         for c, ws in zip(new, cut, strict=True):
-            self.ids[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            ids = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            self.ids[c] = ids
+            self.remembered += 200 + 2 * len(c) + len(ids)
 
     def encode(self, texts: list[str]):
         """Yields the little-endian unsigned 32-bit ids of each text."""
@@ -192,6 +211,11 @@ class Vocabulary:
         """The symbols of the ids with a space between, as a tokenizer without a decoder gives them."""
         return " ".join(map(self.symbols.__getitem__, array("I", ids)))
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """``decode`` of every run of ids between two offsets, as one Arrow column."""
+        words = self.strings.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
+
 
 def _pieces(text: str) -> list[str]:
     return text.split() if _ODD.search(text) is None else _CHUNK.findall(text)
@@ -202,35 +226,41 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _digests(data, offsets) -> pa.Array:
+    """The SHA-256 of each run of bytes between two offsets, in hex."""
+    view = memoryview(data)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+
+
+def _rows(v: Vocabulary, doc_ids: pa.Array, encoded: list[bytes], with_ids: bool) -> pa.RecordBatch:
+    sizes = np.array([len(x) // 4 for x in encoded], np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.frombuffer(b"".join(encoded), "<u4")
+    text = v.decode_all(ids, offsets)
+    data, ends = K.utf8(text)
+    columns = {"doc_id": doc_ids, "n_tokens": pa.array(sizes), "ids_sha256": _digests(ids.view(np.uint8), (offsets * 4).tolist()), "decoded_sha256": _digests(data, ends.tolist())}
+    if with_ids:
+        columns["token_ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+        columns["decoded"] = text
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text for every document; with ``with_ids`` also both themselves."""
     path = path or default_vocabulary()
 
     def run(batches):
         v = vocabulary(path)
-        for b in K.slices(batches, limit=16 << 20):
-            texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            if with_ids:
-                limit = max(1, len(texts) // 8)
-            else:
-                limit = len(texts)
-            encoded = v.encode(texts)
-            ids_of = b.column("doc_id").to_pylist()
-            for i in range(0, len(texts), limit):
-                rows: dict[str, list] = {"doc_id": ids_of[i : i + limit], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-                more: dict[str, list] = {"token_ids": [], "decoded": []} if with_ids else {}
-                for _ in rows["doc_id"]:
-                    ids = next(encoded)
-                    text = v.decode(ids)
-                    rows["n_tokens"].append(len(ids) // 4)
-                    rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    rows["decoded_sha256"].append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-                    if with_ids:
-                        more["token_ids"].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        more["decoded"].append(text)
-                kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
-                rows |= more
-                yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(k, pa.string())) for k, x in rows.items()], names=list(rows))
+        for b in K.slices(batches, limit=TEXT_BYTES):
+            begin, held, size = 0, [], 0
+            for n, ids in enumerate(v.encode(["" if t is None else t for t in b.column("text").to_pylist()]), 1):
+                held.append(ids)
+                size += len(ids)
+                if size >= OUT_BYTES:  # decoded text is somewhat longer than the ids
+                    yield _rows(v, b.column("doc_id")[begin:n], held, with_ids)
+                    begin, held, size = n, [], 0
+            if held:
+                yield _rows(v, b.column("doc_id")[begin:], held, with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -251,14 +251,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns; only the text goes through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in K.slices(batches):
-            yield b.filter(pa.array(shared.value.score(features(*K.utf8(b.column("text")))) >= threshold))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([text], names=["text"])
+        found = [shared.value.score(features(*K.utf8(b.column("text")))) >= threshold for b in K.slices([rows])]
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good("text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
