@@ -32,9 +32,11 @@ def cell(lat: Column, lng: Column, size: float) -> Column:
     return F.struct(F.floor(lat / size).alias("y"), F.floor(lng / size).alias("x"))
 
 
-def neighbours(c: Column) -> Column:
-    """The cell and the eight around it."""
-    return F.array(*(F.struct((c.y + dy).alias("y"), (c.x + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+def neighbours(c: Column, reach: Column | int = 1) -> Column:
+    """The cells of the rows above, below and its own, up to ``reach`` to both sides of a cell."""
+    reach = F.lit(reach) if isinstance(reach, int) else reach
+    aside = F.sequence(-reach, reach)
+    return F.flatten(F.transform(F.array(*(F.lit(dy) for dy in (-1, 0, 1))), lambda dy: F.transform(aside, lambda dx: F.struct((c.y + dy).alias("y"), (c.x + dx).alias("x")))))
 
 
 def encode_plus_code(lat: Column, lng: Column) -> Column:
@@ -51,3 +53,14 @@ def decode_plus_code(code: Column) -> Column:
     value = lambda first: sum(((F.position(F.substring(plain, first + 2 * k, 1), F.lit(DIGITS)) - 1) * 20 ** (4 - k) for k in range(5)), F.lit(0))
     point = F.struct(((value(1) + 0.5) / 8000 - 90).alias("lat"), ((value(2) + 0.5) / 8000 - 180).alias("lng"))
     return F.when(F.upper(code).rlike(f"^[{DIGITS}]{{8}}\\+[{DIGITS}]{{2}}$"), point)
+
+
+def recover_plus_code(short: Column, lat: Column, lng: Column) -> Column:
+    """The full code nearest to a reference point that a code without its first four digits stands for; a full code stays, anything else is null."""
+    code = F.upper(F.trim(short))
+    own = encode_plus_code(lat, lng)
+    near = F.concat(F.substring(own, 1, 4), code)
+    point = decode_plus_code(near)
+    moved = lambda at, ref, limit: at + F.when((ref - at > 0.5) & (at + 1 <= limit), 1.0).when((ref - at < -0.5) & (at - 1 >= -limit), -1.0).otherwise(0.0)
+    found = encode_plus_code(moved(point.lat, lat, 90.0), moved(point.lng, lng, 180.0))
+    return F.when(code.rlike(f"^[{DIGITS}]{{8}}\\+[{DIGITS}]{{2}}$"), code).when(code.rlike(f"^[{DIGITS}]{{4}}\\+[{DIGITS}]{{2}}$"), found)

@@ -46,7 +46,7 @@ def posterior(evidence: DataFrame, key: str, prior_none: float, temperature: flo
 def shrunk_confidence(rows: DataFrame, signatures: list[str], right: str, strength: float = 10.0) -> DataFrame:
     """Rows with a confidence that starts from the coarsest signature's rate and is pulled to each finer one's by its count.
 
-    ``signatures`` go from finest to coarsest. One pass of grouping sets counts all levels.
+    ``signatures`` go from finest to coarsest. Each signature takes one aggregation and one join.
     """
     counts = [rows.groupBy(s).agg(F.sum(F.col(right).cast("double")).alias(f"__c{k}"), F.count("*").alias(f"__n{k}")) for k, s in enumerate(signatures)]
     out = rows

@@ -31,9 +31,11 @@ def separate(df: DataFrame, column: str = "text", known: DataFrame | None = None
     if known is not None:
         safe = known.select(F.upper("segment").alias("__k")).distinct()
         hit = out.select(F.explode("__s").alias("s")).distinct().join(safe, F.upper("s") == F.col("__k"), "left_semi").select("s", F.lit(True).alias("ok"))
-        rows = out.withColumn("__row", F.struct(*out.columns)).select("__row", F.posexplode_outer("__s").alias("i", "s")).join(hit, "s", "left")
-        back = rows.groupBy("__row").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("i", "s", F.coalesce("ok", F.lit(False)).alias("ok"))))).alias("__j"))
-        out = back.select("__row.*", F.transform("__j", lambda x: F.struct(x.s.alias("s"), x.ok.alias("ok"))).alias("__j"))
+        # what a list of segments is taken for doesn't depend on the row, so equal rows stay apart
+        said = out.select("__s").distinct().select("__s", F.posexplode_outer("__s").alias("i", "s")).join(hit, "s", "left")
+        item = F.when(F.col("s").isNotNull(), F.struct("i", "s", F.coalesce("ok", F.lit(False)).alias("ok")))
+        said = said.groupBy("__s").agg(F.array_sort(F.collect_list(item)).alias("__j")).select("__s", F.transform("__j", lambda x: F.struct(x.s.alias("s"), x.ok.alias("ok"))).alias("__j"))
+        out = out.join(said, "__s")
     else:
         out = out.withColumn("__j", F.transform("__s", lambda s: F.struct(s.alias("s"), F.lit(False).alias("ok"))))
 

@@ -20,10 +20,14 @@ _ENTITY = ("eid", "blk", "road", "road_key", "postal", "buildings")
 
 
 def reference(rows: DataFrame) -> DataFrame:
-    """Entities from (blk, road, postal, buildings separated by |, lat, lng): keys made, blanks and NIL dropped, ids by order of blk, road, postal."""
+    """Entities from (blk, road, postal, buildings separated by |, lat, lng): keys made, blanks and NIL dropped.
+
+    Rows that repeat (blk, road, postal) are one entity with the buildings of all; its id is a hash of the three.
+    """
     blk, road = F.upper(F.trim("blk")), F.upper(F.trim("road"))
     e = rows.where("blk is not null and road is not null and upper(trim(blk)) <> 'NIL' and upper(trim(road)) <> 'NIL' and trim(blk) <> '' and trim(road) <> ''")
     e = e.select(blk.alias("blk"), road.alias("road"), F.trim("postal").alias("postal"), F.filter(F.split(F.coalesce("buildings", F.lit("")), r"\|"), lambda b: (b != "") & (b != "NIL")).alias("buildings"), "lat", "lng")
+    e = e.groupBy("blk", "road", "postal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("buildings")))).alias("buildings"), F.min("lat").alias("lat"), F.min("lng").alias("lng"))
     return e.withColumn("road_key", T.match_key("road")).withColumn("eid", F.xxhash64("blk", "road", "postal"))
 
 
@@ -131,9 +135,11 @@ def _named(entity: Column, words: Column) -> Column:
 def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None = None, strictness: str = "BALANCED", fuzzy: bool = True, assume_complete: bool = True, text: str = "text", key: str = "id") -> DataFrame:
     """Every input row with action, eid, address, reasons, statuses and candidates.
 
-    ``floors`` (postal, max_floor) checks units. A null or empty text is FIX with NO_MATCH.
+    ``floors`` (postal, max_floor) checks units. A null or empty text is FIX with NO_MATCH. Each distinct text is resolved
+    once, so repeated ids and texts each keep their rows.
     """
-    parsed = cut(parsing.parse(inputs.select(F.col(key).alias("id"), F.col(text).alias("text"))))
+    said = F.coalesce(F.col(text), F.lit(""))
+    parsed = cut(parsing.parse(inputs.select(said.alias("text")).distinct().select(F.xxhash64("text").alias("id"), "text")))
     best = cut(_best(hypotheses(parsed, entities, fuzzy), parsed, entities))
     d = parsed.join(best, "id", "left").withColumns({c: F.col(f"h.{c}") for c in ("blk", "road_key", "exact", "toks", "leftover", "br", "p", "both")})
     empty = F.array().cast(_ENTITIES)
@@ -219,6 +225,8 @@ def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None =
     candidates = F.when(none, F.coalesce(F.transform(F.slice(picked, 1, 5), lambda x: x.eid), F.transform(F.slice("pois", 1, 5), lambda x: x.eid), F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>"))
     unit_text = F.when(F.col("unit_no").isNotNull(), F.concat(F.lit("#"), "unit_floor", F.lit("-"), "unit_no")).when(unit, F.concat(F.lit("Level "), F.regexp_replace("unit_floor", "^0(?=.)", "")))
     out = d.select(
-        F.col("id").alias(key), action.alias("action"), "eid", shown.alias("address"), unit_text.alias("unit"), reasons.alias("reasons"), F.when(has, F.struct("premise", "route", F.col("postcode").alias("postal"))).alias("status"), candidates.alias("candidates"),
+        F.col("text").alias("__text"), action.alias("action"), "eid", shown.alias("address"), unit_text.alias("unit"), reasons.alias("reasons"), F.when(has, F.struct("premise", "route", F.col("postcode").alias("postal"))).alias("status"), candidates.alias("candidates"),
     )
-    return inputs.join(out, key, "left") if len(inputs.columns) > 2 else out
+    kept = inputs if len(inputs.columns) > 2 else inputs.select(key, text)
+    joined = kept.join(out, said == F.col("__text"), "left").drop("__text")
+    return joined if len(inputs.columns) > 2 else joined.drop(text)

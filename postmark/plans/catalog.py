@@ -1,7 +1,6 @@
 """The queries of the address engine, each with its DuckDB twin where SQL can express it.
 
-Every query runs over whole tables, but for completed_names_join, which probes with a third of the streets
-(completed_names_all: with every one); the address world of ``world`` gives the benchmark tables their addresses.
+Every query runs over whole tables; the address world of ``world`` gives the benchmark tables their addresses.
 """
 
 from __future__ import annotations
@@ -121,12 +120,14 @@ def script_detection(w):
 
 
 @query("""
-, m AS (SELECT point_id, postal, ['GB','IE','CA','BR','PT','NL','SE','CZ','SK','AU'][(point_id % 10)::INT + 1] AS market FROM point)
-SELECT point_id, market, CASE WHEN market = 'GB' THEN substr(postal, 1, 4) WHEN market IN ('IE','CA','SE','CZ','SK') THEN substr(postal, 1, 3) WHEN market = 'BR' THEN substr(postal, 1, 5)
-  WHEN market IN ('PT','NL') THEN substr(postal, 1, 4) END AS prefix FROM m""")
+, m AS (SELECT point_id, substr(postal, 1, (2 + point_id % 5)::INT) AS code, ['GB','IE','CA','BR','PT','NL','SE','CZ','SK','AU'][(point_id // 5 % 10)::INT + 1] AS market FROM point),
+l AS (SELECT *, CASE WHEN market IN ('IE','CA','SE','CZ','SK') THEN 3 WHEN market IN ('PT','NL') THEN 4 WHEN market = 'BR' THEN 5 ELSE 99 END AS n FROM m)
+SELECT point_id, market, code, CASE WHEN market = 'GB' THEN CASE WHEN length(code) >= 5 THEN substr(code, 1, length(code) - 2) ELSE '' END WHEN length(code) >= n THEN substr(code, 1, n) ELSE '' END AS prefix FROM l""")
 def postcode_prefix(w):
-    market = F.get(F.array(*(F.lit(x) for x in ("GB", "IE", "CA", "BR", "PT", "NL", "SE", "CZ", "SK", "AU"))), (F.col("point_id") % 10).cast("int"))
-    return w.point.select("point_id", market.alias("market"), text.postcode_prefix(market, F.col("postal")).alias("prefix"))
+    """Codes of two to six digits; too short ones have no prefix."""
+    market = F.get(F.array(*(F.lit(x) for x in ("GB", "IE", "CA", "BR", "PT", "NL", "SE", "CZ", "SK", "AU"))), (F.floor(F.col("point_id") / 5) % 10).cast("int"))
+    code = F.substring(F.col("postal"), F.lit(1), (2 + F.col("point_id") % 5).cast("int"))
+    return w.point.select("point_id", market.alias("market"), code.alias("code"), text.postcode_prefix(market, code).alias("prefix"))
 
 
 @query("""
@@ -290,20 +291,6 @@ def spelling_fix(w):
     return recall.nearest_words(typed, words.groupBy("word").agg(F.count("*").alias("freq")))
 
 
-@query("""
-, k AS (SELECT DISTINCT name AS key FROM street), q AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5) AS query FROM street),
-g AS (SELECT DISTINCT key, substr('  ' || key || ' ', i::INT, 3) AS gram FROM (SELECT key, unnest(range(1, length(key) + 2)) AS i FROM k)),
-h AS (SELECT DISTINCT query, substr('  ' || query || ' ', i::INT, 3) AS gram FROM (SELECT query, unnest(range(1, length(query) + 2)) AS i FROM q)),
-d AS (SELECT gram, count(*) > (SELECT greatest(2000, count(*) * 0.05) FROM k) AS common FROM g GROUP BY gram),
-o AS (SELECT query, gram, common, bool_and(common) OVER (PARTITION BY query) AS alone FROM h JOIN d USING (gram)),
-s AS (SELECT query, key, count(*) AS shared FROM o JOIN g USING (gram) WHERE NOT common OR alone GROUP BY query, key),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, key) AS r FROM s)
-SELECT query, key, shared FROM r WHERE r <= 5""")
-def trigram_top_keys(w):
-    q = w.street.select(F.concat(F.substring("name", 1, 3), F.expr("substr(name, 5)")).alias("query"))
-    return recall.trigram_candidates(q, w.street.select(F.col("name").alias("key")), top=5)
-
-
 @query("""
 , k AS (SELECT DISTINCT name AS key FROM street), q AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5) AS query FROM street),
 g AS (SELECT DISTINCT key, substr('  ' || key || ' ', i::INT, 3) AS gram FROM (SELECT key, unnest(range(1, length(key) + 2)) AS i FROM k)),
@@ -313,8 +300,7 @@ o AS (SELECT query, gram, common, bool_and(common) OVER (PARTITION BY query) AS
 s AS (SELECT query, key, count(*) AS shared FROM o JOIN g USING (gram) WHERE NOT common OR alone GROUP BY query, key),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, key) AS r FROM s)
 SELECT query, key, shared FROM r WHERE r <= 60""")
-def trigram_recall(w):
-    """trigram_top_keys with the reference's 60 keys a query."""
+def trigram_top_keys(w):
     q = w.street.select(F.concat(F.substring("name", 1, 3), F.expr("substr(name, 5)")).alias("query"))
     return recall.trigram_candidates(q, w.street.select(F.col("name").alias("key")))
 
@@ -375,28 +361,17 @@ def number_interpolation(w):
 
 
 @query("""
-, r AS (SELECT street_id, number AS lo, number + 6 AS hi FROM point WHERE number % 10 = 0)
+, r AS (SELECT street_id, number AS lo, number + 6 AS hi FROM point)
 SELECT i.input_id, r.lo, r.hi FROM input AS i JOIN r ON r.street_id = i.street_id AND i.number BETWEEN r.lo AND r.hi""")
 def interval_contains(w):
-    r = w.point.where("number % 10 = 0").select("street_id", F.col("number").alias("lo"), (F.col("number") + 6).alias("hi"))
+    r = w.point.select("street_id", F.col("number").alias("lo"), (F.col("number") + 6).alias("hi"))
     return w.input.join(r, "street_id").where("number between lo and hi").select("input_id", "lo", "hi")
 
 
-@query("""
-, b AS (SELECT place_id, name FROM place), x AS (SELECT street_id, name FROM street WHERE street_id % 3 = 0)
-SELECT x.street_id, y.street_id AS longer, y.name AS full_name FROM (SELECT street_id, string_split(name, ' ')[1] AS head FROM street WHERE street_id % 3 = 0) AS x
-JOIN street AS y ON y.area_id = x.street_id % 25 AND y.name LIKE x.head || ' %' AND y.street_id <> x.street_id""")
-def completed_names_join(w):
-    x = w.street.where("street_id % 3 = 0").select("street_id", F.split("name", " ")[0].alias("head"), (F.col("street_id") % 25).cast("int").alias("area_id"))
-    y = w.street.select(F.col("street_id").alias("longer"), F.col("name").alias("full_name"), "area_id", F.split("name", " ")[0].alias("head"))
-    return x.join(y, ["area_id", "head"]).where("longer <> street_id").select("street_id", "longer", "full_name")
-
-
 @query("""
 , x AS (SELECT street_id, area_id, string_split(name, ' ')[1] AS head FROM street)
 SELECT x.street_id, y.street_id AS longer, y.name AS full_name FROM x JOIN street AS y ON y.area_id = x.area_id AND starts_with(y.name, x.head || ' ') AND y.street_id <> x.street_id""")
-def completed_names_all(w):
-    """completed_names_join with every street on the probing side."""
+def completed_names_join(w):
     x = w.street.select("street_id", F.split("name", " ")[0].alias("head"), "area_id")
     y = w.street.select(F.col("street_id").alias("longer"), F.col("name").alias("full_name"), "area_id", F.split("name", " ")[0].alias("head"))
     return x.join(y, ["area_id", "head"]).where("longer <> street_id").select("street_id", "longer", "full_name")
@@ -434,9 +409,10 @@ def index_percentiles(w):
     return w.point.groupBy("street_id").agg(stats.percentile_index(F.col("number"), 0.5).alias("p50"), stats.percentile_index(F.col("number"), 0.9).alias("p90"))
 
 
-@query("SELECT round(lat, 3) AS y, round(lng, 3) AS x, count(DISTINCT name) AS streets FROM point GROUP BY y, x HAVING count(DISTINCT name) >= 3")
+@query("SELECT floor(lat * 1000 + 0.5)::BIGINT AS y, floor(lng * 1000 + 0.5)::BIGINT AS x, count(DISTINCT name) AS streets FROM point GROUP BY y, x HAVING count(DISTINCT name) >= 3")
 def coordinate_hotspots(w):
-    return w.point.groupBy(F.round("lat", 3).alias("y"), F.round("lng", 3).alias("x")).agg(F.countDistinct("name").alias("streets")).where("streets >= 3")
+    thousandth = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    return w.point.groupBy(thousandth("lat").alias("y"), thousandth("lng").alias("x")).agg(F.countDistinct("name").alias("streets")).where("streets >= 3")
 
 
 @query("""
@@ -478,19 +454,11 @@ def health_classes(w):
     return t.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.sum(F.coalesce("known", F.lit(0))).alias("on_known_street"))
 
 
-@query("""
-, r AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY population DESC, place_id) AS r FROM place)
-SELECT area_id, place_id, population FROM r WHERE r <= 3""")
-def gazetteer_top_homonyms(w):
-    r = F.row_number().over(W.partitionBy("area_id").orderBy(F.desc("population"), "place_id"))
-    return w.place.withColumn("r", r).where("r <= 3").select("area_id", "place_id", "population")
-
-
 @query("""
 , g AS (SELECT *, coalesce(lat BETWEEN 1.1 AND 1.3 AND lng BETWEEN 103.1 AND 103.3, false) AS in_pilot FROM place),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY population DESC NULLS LAST, place_id) AS r FROM g)
 SELECT name, place_id, population, in_pilot FROM r WHERE r <= 40 OR in_pilot""")
-def gazetteer_homonyms(w):
+def gazetteer_top_homonyms(w):
     """The reference's gazetteer: of the places of one name the 40 of most people, and all within the pilot's box."""
     pilot = F.col("lat").between(1.1, 1.3) & F.col("lng").between(103.1, 103.3)
     g = w.place.select("name", "place_id", "population", F.coalesce(pilot, F.lit(False)).alias("in_pilot"))
@@ -753,25 +721,12 @@ def validate_addresses(w):
     return out.select("id", "action", "address", "unit", F.array_join("reasons", "|").alias("reasons"), F.size("candidates").alias("n_candidates"))
 
 
-@query("""
-, p AS (SELECT input_id AS id, number::VARCHAR AS nkey, CASE WHEN input_id % 3 = 0 THEN '999999' ELSE truth_postal END AS postcode, substr(name, 1, 3) AS s3 FROM input),
-a AS (SELECT p.id, t.point_id, 'postcode' AS route FROM p JOIN point AS t ON t.blk = p.nkey AND t.postal = p.postcode),
-b AS (SELECT p.id, t.point_id, row_number() OVER (PARTITION BY p.id ORDER BY t.point_id) AS r FROM p JOIN point AS t ON t.blk = p.nkey AND substr(t.name, 1, 3) = p.s3 WHERE p.id NOT IN (SELECT id FROM a))
-SELECT * FROM a UNION ALL SELECT id, point_id, 'prefix' FROM b WHERE r <= 5""")
-def national_recall_union(w):
-    code = F.when(F.col("input_id") % 3 == 0, "999999").otherwise(F.col("truth_postal"))
-    probes = w.input.select(F.col("input_id").alias("id"), F.col("number").cast("string").alias("nkey"), code.alias("postcode"), F.substring("name", 1, 3).alias("s3"))
-    points = w.point.select("point_id", F.col("blk").alias("nkey"), F.col("postal").alias("postcode"), F.substring("name", 1, 3).alias("s3"))
-    return geocoder.national_recall(probes, points, most=5)
-
-
 @query("""
 , p AS (SELECT input_id AS id, number::VARCHAR AS nkey, CASE WHEN input_id % 3 = 0 THEN '999999' ELSE truth_postal END AS postcode, substr(name, 1, 3) AS s3 FROM input),
 a AS (SELECT p.id, t.point_id, 'postcode' AS route FROM p JOIN point AS t ON t.blk = p.nkey AND t.postal = p.postcode),
 b AS (SELECT p.id, t.point_id, row_number() OVER (PARTITION BY p.id ORDER BY t.point_id) AS r FROM p JOIN point AS t ON t.blk = p.nkey AND substr(t.name, 1, 3) = p.s3 WHERE p.id NOT IN (SELECT id FROM a))
 SELECT * FROM a UNION ALL SELECT id, point_id, 'prefix' FROM b WHERE r <= 5000""")
-def national_recall_all(w):
-    """national_recall_union with the reference's 5,000 prefix rows an input."""
+def national_recall_union(w):
     code = F.when(F.col("input_id") % 3 == 0, "999999").otherwise(F.col("truth_postal"))
     probes = w.input.select(F.col("input_id").alias("id"), F.col("number").cast("string").alias("nkey"), code.alias("postcode"), F.substring("name", 1, 3).alias("s3"))
     points = w.point.select("point_id", F.col("blk").alias("nkey"), F.col("postal").alias("postcode"), F.substring("name", 1, 3).alias("s3"))

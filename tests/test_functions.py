@@ -127,3 +127,19 @@ def test_metrics(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "p double, y int")
     assert metrics.auroc(rows, "p", "y").first()[0] == 0.75
     assert metrics.calibration(rows, "p", "y").first()["brier"] == pytest.approx((0.01 + 0.16 + 0.4225 + 0.04) / 4)
+
+
+def test_within_reaches_far_north(spark):
+    from postmark.operators import spatial
+
+    left = spark.createDataFrame([(1, 60.0, 10.0)], "id int, lat double, lng double")
+    right = spark.createDataFrame([(1, 60.0, 10.0139), (2, 60.0, 10.03), (3, 60.0, 9.9862)], "rid int, rlat double, rlng double")
+    assert {r["rid"] for r in spatial.within(left, right, 800, 0.01).collect()} == {1, 3}
+    with pytest.raises(ValueError):
+        spatial.within(left, right, 2000, 0.01)
+
+
+def test_short_plus_codes_are_recovered(spark):
+    df = spark.createDataFrame([("C5RC+6Q", 1.30, 103.83), ("8FVC9G8F+6W", 0.0, 0.0), ("9G8F+6W", 47.4, 8.6), ("none", 1.0, 1.0)], "code string, lat double, lng double")
+    got = [r[0] for r in df.select(geo.recover_plus_code(F.col("code"), F.col("lat"), F.col("lng"))).collect()]
+    assert got[1] == "8FVC9G8F+6W" and got[2] == "8FVC9G8F+6W" and got[0].endswith("C5RC+6Q") and got[3] is None

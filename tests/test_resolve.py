@@ -73,3 +73,24 @@ def test_strictness_and_floors(spark, entities):
 def test_parse(spark, text, floor, unit, postal, marked):
     got = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()
     assert (got["unit_floor"], got["unit_no"], got["postal"], got["block_marked"]) == (floor, unit, postal, marked)
+
+
+def test_repeated_rows_keep_apart(spark, entities):
+    inputs = spark.createDataFrame([(1, "1 Raffles Place"), (1, "10 Bayfront Avenue 018956"), (2, "1 Raffles Place"), (2, "1 Raffles Place")], "id long, text string")
+    got = sorted((r["id"], r["address"]) for r in resolve.validate(inputs, entities).collect())
+    assert got == [(1, "1 RAFFLES PLACE 048616"), (1, "10 BAYFRONT AVENUE 018956"), (2, "1 RAFFLES PLACE 048616"), (2, "1 RAFFLES PLACE 048616")]
+
+
+def test_repeated_reference_rows_are_one_entity(spark):
+    rows = spark.createDataFrame([("1", "RED ROAD", "100000", "A", 1.0, 103.0), ("1", "Red Road", "100000", "B|A", 1.0, 103.0)], "blk string, road string, postal string, buildings string, lat double, lng double")
+    assert [r["buildings"] for r in resolve.reference(rows).collect()] == [["A", "B"]]
+
+
+@pytest.mark.parametrize(
+    ("text", "floor", "unit", "postal"),
+    [("Level 5 Unit 12 Red Road", "05", "12", None), ("Unit 3-07 Red Road", "03", "07", None), ("#B1-02/03 Red Road", "B1", "02", None), ("Red Road 05-123", "05", "123", None), ("12/F Red Road", "12", None, None), ("#3rd floor Red Road", "03", None, None), ("Red Road S(123456)", None, None, "123456"), ("Republic of Singapore 12345", None, None, "012345")],
+)
+def test_units_and_postcodes(spark, text, floor, unit, postal):
+    r = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()
+    assert (r["unit_floor"], r["unit_no"], r["postal"]) == (floor, unit, postal)
+    assert "REPUBLIC" not in [w for v in r["variants"] for w in v]
