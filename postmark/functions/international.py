@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,6 +13,12 @@ from pyspark.sql.types import StringType
 
 #: Letters that decomposition leaves, with their plain spelling.
 PLAIN = {"ß": "SS", "ẞ": "SS", "đ": "D", "Đ": "D", "ł": "L", "Ł": "L", "ø": "O", "Ø": "O", "æ": "AE", "Æ": "AE", "œ": "OE", "Œ": "OE", "ð": "D", "Ð": "D", "þ": "TH", "Þ": "TH", "ı": "I"}
+#: Cyrillic letters and their transliteration.
+CYRILLIC = dict(zip("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЬЮЯЁЫЭӘҒҚҢӨҰҮҺІ", "A B V G D E ZH Z I Y K L M N O P R S T U F H TS CH SH SHT A Y YU YA YO Y E A G K N O U U H I".split(), strict=True))
+#: Arabic letters written in several forms, and the form that stands for all; marks and the lengthening stroke go.
+ARABIC = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ة": "ه", "ى": "ي", "ؤ": "و", "ئ": "ي", "ـ": ""}
+#: Japanese numerals.
+KANJI = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 #: How each market writes a postcode whose blanks and hyphens are gone, as (market, pattern, form).
 POSTCODE_FORMS = (
     ("CA", "^([A-Z][0-9][A-Z])([0-9][A-Z][0-9])$", "$1 $2"), ("GB", "^([A-Z0-9]+?)([0-9][A-Z]{2})$", "$1 $2"), ("IE", "^([A-Z0-9]{3})([A-Z0-9]{4})$", "$1 $2"), ("NL", "^([0-9]{4})([A-Z]{2})$", "$1 $2"),
@@ -20,8 +27,27 @@ POSTCODE_FORMS = (
 )
 
 
+def kanji_number(s: str) -> int:
+    """A Japanese number up to 99."""
+    total = ones = 0
+    for c in s:
+        total, ones = (total + 10 * (ones or 1), 0) if c == "十" else (total, 10 * ones + KANJI[c])
+    return total + ones
+
+
+def _blocks(s: str) -> str:
+    """Japanese districts, blocks and numbers in one form: 丸の内二丁目7番9号 as 丸の内 2CHOME 7-9."""
+    s = re.sub("([〇一二三四五六七八九十]+)(?=丁目)", lambda m: str(kanji_number(m[1])), s)
+    s = re.sub(r"([0-9]+)(?:丁目|[\s-]*CHOME\b)[\s-]*", r" \1CHOME ", s)
+    s = re.sub(r"([0-9]+)番地?(?=([0-9])?)", lambda m: m[1] + ("-" if m[2] else " "), s)
+    return " ".join(re.sub("(?<=[0-9])号", " ", s).split())
+
+
 def fold_text(s: str | None) -> str | None:
-    """Compatibility forms and native digits unified, accents and apostrophes between letters gone, upper case."""
+    """Compatibility forms and native digits unified, accents and apostrophes between letters gone, upper case.
+
+    Cyrillic is transliterated, Arabic letters have one form each, Japanese block numbers one spelling.
+    """
     if s is None:
         return None
     if s.isascii():
@@ -29,12 +55,14 @@ def fold_text(s: str | None) -> str | None:
     else:
         s = "".join(PLAIN.get(c, c) for c in unicodedata.normalize("NFKC", s))
         s = "".join(str(unicodedata.digit(c)) if not c.isascii() and c.isdigit() else c for c in s)
+        s = "".join(ARABIC.get(c, c) for c in s if not "\u064b" <= c <= "\u065f" and c != "\u0670").upper()
+        s = "".join(CYRILLIC.get(c, c) for c in s)
         kept = [c for c in unicodedata.normalize("NFD", s) if not ("̀" <= c <= "ͯ")]
         s = unicodedata.normalize("NFC", "".join(kept)).upper()
     for mark in "'’`":
         if mark in s:
             s = "".join(c for i, c in enumerate(s) if c != mark or not (0 < i < len(s) - 1 and s[i - 1].isalpha() and s[i + 1].isalpha()))
-    return s
+    return _blocks(s) if "丁目" in s or "番" in s or "CHOME" in s else s
 
 
 @F.pandas_udf(StringType())
