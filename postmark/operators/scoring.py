@@ -133,10 +133,7 @@ def grid_neighbour(probes: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def nearest_blocks(probes: DataFrame, points: DataFrame, most: int = 3) -> DataFrame:
-    """The ``most`` points of a street whose numbers are nearest to a probe's (id, street_id, number), ties to smaller ids.
-
-    Only the nearest on each side can be among them: they come from two aggregations of bounded size.
-    """
+    """The ``most`` points of a street whose numbers are nearest to a probe's (id, street_id, number), ties to smaller ids; Spark keeps only the first of each window while it sorts."""
     j = probes.join(points.select("street_id", F.col("number").alias("found"), "point_id"), "street_id")
     gap = F.abs(F.col("found") - F.col("number"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(gap, "point_id"))
