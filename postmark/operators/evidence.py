@@ -85,3 +85,70 @@ def decide(postal: Column, premise: Column, route: Column, unresolved: Column, s
     if strictness != "LENIENT":
         doubt = doubt | any_of("inferred") | any_of("corrected")
     return F.when(doubt, "CONFIRM").otherwise("ACCEPT")
+
+
+def compare_street(found: Column, exact: Column, other_exact: Column) -> Column:
+    """exact or corrected where the reading's street is the candidate's, other where it is another's exactly, else absent."""
+    return F.when(found, F.when(exact, "exact").otherwise("corrected")).when(other_exact, "other").otherwise("absent")
+
+
+def compare_building(rows: DataFrame, key: list[str], rest: str, buildings: str) -> DataFrame:
+    """(key, building): absent without words left, match where a building's name has a token-set ratio of 90 or more with them, else nomatch."""
+    from postmark.functions.similarity import token_set_ratio
+
+    some = rows.select(*key, rest, F.explode_outer(buildings).alias("__b")).withColumn("__r", token_set_ratio(F.col("__b"), F.col(rest)))
+    g = some.groupBy(*key).agg(F.max("__r").alias("__r"), F.first(rest).alias("__w"))
+    return g.select(*key, F.when(F.coalesce("__w", F.lit("")) == "", "absent").when(F.coalesce(F.col("__r") >= 90, F.lit(False)), "match").otherwise("nomatch").alias("building"))
+
+
+def pattern(*levels: Column) -> Column:
+    return F.concat_ws("|", *levels)
+
+
+def fit_patterns(rows: DataFrame, least: int = 5) -> DataFrame:
+    """(pattern, weight): log2 of the smoothed ratio of a joint pattern's shares among true and false pairs; patterns of fewer than ``least`` rows have none."""
+    n = rows.groupBy("pattern").agg(F.sum(F.col("is_true").cast("long")).alias("m"), F.sum((~F.col("is_true")).cast("long")).alias("u"))
+    every = W.partitionBy(F.lit(1))  # as many rows as there are patterns
+    m, u, k = F.sum("m").over(every), F.sum("u").over(every), F.count("*").over(every)
+    w = F.log2(((F.col("m") + 0.5) / (m + 0.5 * k)) / ((F.col("u") + 0.5) / (u + 0.5 * k)))
+    return n.withColumn("weight", w).where(F.col("m") + F.col("u") >= least).select("pattern", "weight")
+
+
+def joint_evidence(rows: DataFrame, fields: list[str], weights: DataFrame, patterns: DataFrame, extra: str) -> DataFrame:
+    """Adds ``evidence``: the weight of the joint pattern of ``fields`` where it has one, else the sum of theirs; and that of the field ``extra``."""
+    out = rows.withColumn("pattern", pattern(*(F.col(f) for f in fields))).join(patterns.withColumnRenamed("weight", "__joint"), "pattern", "left")
+    for f in [*fields, extra]:
+        own = weights.where(F.col("field") == f).select(F.col("level").alias(f), F.col("weight").alias(f"__{f}"))
+        out = out.join(own, f, "left")
+    single = sum((F.coalesce(F.col(f"__{f}"), F.lit(0.0)) for f in fields), F.lit(0.0))
+    return out.withColumn("evidence", F.coalesce("__joint", single) + F.coalesce(F.col(f"__{extra}"), F.lit(0.0))).drop("__joint", *(f"__{f}" for f in [*fields, extra]))
+
+
+def confident(action: Column, confidence: Column, strictness: str) -> Column:
+    """ACCEPT below the strictness's threshold becomes CONFIRM."""
+    return F.when((action == "ACCEPT") & (confidence < THRESHOLDS[strictness][0]), "CONFIRM").otherwise(action)
+
+
+def select_by_posterior(candidates: DataFrame, strictness: str) -> DataFrame:
+    """(id, eid, action, confidence, reselected): the candidate (id, eid, posterior, rule_eid, rule_action) of the highest posterior.
+
+    Below the lower threshold there is none: FIX. Another than the rule's is reselected; ACCEPT needs the upper threshold.
+    """
+    accept, some = THRESHOLDS[strictness]
+    best = candidates.groupBy("id").agg(F.max_by(F.struct("eid", "posterior"), F.struct("posterior", -F.col("eid"))).alias("b"), F.first("rule_eid").alias("rule_eid"), F.first("rule_action").alias("rule_action"), F.sum("posterior").alias("all"))
+    p = F.col("b.posterior")
+    kept, own = p >= some, F.coalesce(F.col("b.eid") == F.col("rule_eid"), F.lit(False))
+    action = F.when(~kept, "FIX").when(own, F.col("rule_action")).otherwise("CONFIRM")
+    action = F.when((action == "ACCEPT") & (p < accept), "CONFIRM").otherwise(action)
+    return best.select("id", F.when(kept, F.col("b.eid")).alias("eid"), action.alias("action"), F.when(kept, p).otherwise(1 - F.col("all")).alias("confidence"), (kept & ~own).alias("reselected"))
+
+
+def save(weights: DataFrame, path: str) -> None:
+    """Writes a model's table as JSON lines."""
+    weights.write.mode("overwrite").json(path)
+
+
+def load(weights: DataFrame | None, path: str, spark, schema: str = "field string, level string, weight double") -> DataFrame:
+    """Reads a table of ``save``; ``weights`` are defaults below it, by field and level."""
+    got = spark.read.schema(schema).json(path)
+    return got if weights is None else got.unionByName(weights.join(got, ["field", "level"], "left_anti"))
