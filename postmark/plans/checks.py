@@ -313,7 +313,7 @@ g AS (SELECT *, {_TITLE.format("road")} AS shown, {_typo("a", "eid")} || z AS ba
   CASE c WHEN 0 THEN blk || ' ' || shown || ', Singapore ' || postal WHEN 1 THEN lower('s''pore ' || postal || ' blk ' || blk || '  ' || road) WHEN 2 THEN blk || ' ' || {_TITLE.format("bad")} || CASE WHEN tailed THEN ', Singapore ' || postal ELSE '' END WHEN 3 THEN blk || ' ' || shown WHEN 4 THEN shown || ', Singapore'
   WHEN 5 THEN blk || ' ' || shown || ', Singapore 99' || substr(postal, 3, 4) WHEN 6 THEN '9' || regexp_extract(blk, '^[0-9]+') || '9 ' || shown || ', Singapore' WHEN 7 THEN blk || ' Qwz' || lower(reverse(a)) || ' Road, Singapore'
   WHEN 8 THEN array_to_string(list_transform(string_split(building, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') ELSE blk || ' ' || shown || ' #' || f || '-' || u || ', Singapore ' || postal END AS text,
-  CASE WHEN c IN (0, 1, 9) THEN 'ACCEPT' WHEN c IN (4, 6, 7) THEN 'FIX' ELSE 'CONFIRM' END AS expected, CASE WHEN c NOT IN (4, 6, 7) THEN eid END AS expected_id FROM g WHERE c <> 8 OR building IS NOT NULL""")
+  CASE WHEN c IN (0, 1, 9) THEN 'ACCEPT' WHEN c IN (4, 6, 7) THEN 'FIX' ELSE 'CONFIRM' END AS expected, CASE WHEN c NOT IN (4, 6, 7) THEN eid END AS expected_id FROM g WHERE c <> 8 OR building IN (SELECT building FROM point WHERE building IS NOT NULL GROUP BY 1 HAVING count(*) = 1)""")
 def golden_set(w):
     return Y.golden(_entities(w))
 
