@@ -7,18 +7,19 @@ Each of ``TABLES`` tables hashes a vector by ``k`` random projections cut into c
 visits its own bucket and perturbed ones (each cell index moved by -1, 0 or 1) in order of estimated
 success: the sum of squared distances from its projections to the borders crossed. The number
 of probes is the least that finds ``target`` of the true neighbours on a bounded sample
-(``SAMPLE`` vectors by least hash), where neighbours are farther than among all rows. Where all 3**k moves
-together find fewer, there are fewer projections, down to none: an exhaustive search. A query for which the probes find
+(``SAMPLE`` vectors by least hash), where neighbours are farther than among all rows. Of several cell widths and numbers of projections,
+those are taken that reach the target with the least share of the sample's rows looked at; where none does within ``PROBES``
+probes, there are no projections: one bucket, an exhaustive search by the same path. A query for which the probes find
 fewer than asked for visits every bucket of the first table, which holds every row. All
 rows are indexed; candidates of all tables are merged and ranked by exact inner product.
 
 A bucket of more than ``CELL`` vectors is split into cells by hash of vec_id, and a query visits them all, so
-no task holds an unbounded bucket; vectors and queries meet in groups of bounded size.
-The number of projections grows with the count of rows; up to ``EXHAUSTIVE`` rows there are none, and the search is exhaustive.
+no task holds an unbounded bucket; vectors and queries meet in groups of bounded size, and a vector goes only to the blocks of
+queries that visit its bucket. The number of projections grows with the logarithm of the count of rows, without a bound.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, neither do null ids. Candidates that carry the query's own id are its own row. Ties go
-to the smaller vec_id; a candidate id that repeats counts once, with its best score.
+to the smaller vec_id; a candidate id that repeats counts once, with its best score. A query id that repeats is searched by its least vector.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from pyspark.sql import Window as W
 from . import kernel as K
 from .tables import read, shared_dir, store
 
-TABLES, MOST_PROJECTIONS, WIDTH = 2, 7, 2.0
+TABLES = 2
+#: Cell widths tried, as parts of the norm; probes a query and table at most, which bounds the work of finding them.
+WIDTHS, PROBES = (0.5, 1.0, 2.0), 2187
 SAMPLE, SAMPLE_QUERIES, TARGET = 8000, 300, 0.95
-EXHAUSTIVE, BUCKET, CELL, GROUP, QUERIES = 1024, 512, 4096, 40_000, 10_000
+BUCKET, CELL, GROUP, QUERIES = 512, 4096, 40_000, 10_000
 
 
 @dataclass
@@ -75,13 +78,20 @@ class Hashing:
         place = self.places(v, asked=True)
         cell = np.floor(place).astype(np.int64)
         x = place - cell
-        moves = np.array(np.meshgrid(*[[0, -1, 1]] * self.k, indexing="ij")).reshape(self.k, -1).T if self.k else np.zeros((1, 0), int)
+        # sums grow coordinate by coordinate; a prefix that isn't among the best so far can't be among the best in the end
         cost = np.zeros((*x.shape[:2], 1))
+        moves = np.zeros((*x.shape[:2], 1, 0), np.int8)
         for j in range(self.k):
             each = np.stack((np.zeros(x.shape[:2]), x[..., j] ** 2, (1 - x[..., j]) ** 2), axis=-1)
+            n = cost.shape[-1]
             cost = (cost[..., :, None] + each[..., None, :]).reshape(*x.shape[:2], -1)
+            steps = np.broadcast_to(np.tile(np.array([0, -1, 1], np.int8), n)[:, None], (*x.shape[:2], 3 * n, 1))
+            moves = np.concatenate((np.repeat(moves, 3, axis=2), steps), axis=3)
+            if cost.shape[-1] > probes:
+                best = np.argsort(cost, axis=-1, kind="stable")[..., :probes]
+                cost, moves = np.take_along_axis(cost, best, -1), np.take_along_axis(moves, best[..., None], 2)
         order = np.argsort(cost, axis=-1, kind="stable")[..., :probes]
-        return self.names(cell[:, :, None, :] + moves[order])
+        return self.names(cell[:, :, None, :] + np.take_along_axis(moves, order[..., None], 2))
 
 
 def _valid(rows: DataFrame, dimensions: int) -> DataFrame:
@@ -96,36 +106,48 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
 
-def measured(v: np.ndarray, norm: float, k: int, k_near: int, target: float, seed: int = 3) -> Hashing:
-    """At most ``k`` projections by which ``target`` of the true neighbours within ``v`` can be found, and the least number of probes that finds them."""
+def measured(v: np.ndarray, norm: float, k: int, k_near: int, target: float, seed: int = 3, widths: tuple[float, ...] = WIDTHS) -> Hashing:
+    """Of at most ``k`` projections and the widths (of the norm), those by which ``target`` of the true neighbours within ``v`` are found by the least rows looked at, and the least number of probes."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    width = WIDTH * norm
-    a, b = rng.normal(size=(TABLES, k, v.shape[1])), rng.uniform(0, width, (TABLES, k))
-    a = np.concatenate((a, rng.normal(size=(TABLES, k, 1))), axis=2)
+    a, b = rng.normal(size=(TABLES, k, v.shape[1] + 1)), rng.uniform(0, 1, (TABLES, k))
     queries = v[:SAMPLE_QUERIES]
     score = queries @ v.T
     score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(k_near, len(v) - 1)] if len(v) else np.zeros((0, 0), int)
-    while k:
-        h = Hashing(a[:, :k], b[:, :k], width, norm)
-        own = h.names(np.floor(h.places(v)).astype(np.int64))
-        visits = h.visits(queries, 3**k)
-        rank = np.full(near.shape, 3**k)
-        for q in range(len(queries)):
+    near = np.argsort(-score, axis=1)[:, : min(k_near, len(v) - 1)] if len(v) > 1 else np.zeros((0, 0), int)
+    none = Hashing(a[:1, :0], b[:1, :0], norm, norm)  # one bucket; one table is all
+    if not near.size:
+        return none
+    found, least = none, 1.0
+    for width in (w * norm for w in widths):
+        for n in range(k, 0, -1):
+            h = Hashing(a[:, :n], b[:, :n] * width, width, norm)
+            own = h.names(np.floor(h.places(v)).astype(np.int64))
+            h.probes = min(3**n, PROBES)
+            visits = h.visits(queries, h.probes)
+            rank, seen = np.full(near.shape, h.probes), np.zeros((len(queries), h.probes))
             for t in range(TABLES):
-                at = {n: r for r, n in reversed(list(enumerate(visits[q, t].tolist())))}
-                rank[q] = np.minimum(rank[q], [at.get(n, 3**k) for n in own[near[q], t].tolist()])
-        h.probes = int(np.quantile(rank.ravel(), target, method="higher")) + 1
-        if h.probes <= 3**k:
-            return h
-        k -= 1  # out of reach of all moves
-    return Hashing(a[:1, :0], b[:1, :0], width, norm)  # one bucket; one table is all
+                names, sizes = np.unique(own[:, t], return_counts=True)
+                for q in range(len(queries)):
+                    order = np.argsort(visits[q, t], kind="stable")
+                    at = np.minimum(np.searchsorted(visits[q, t], own[near[q], t], sorter=order), h.probes - 1)
+                    hit = visits[q, t][order[at]] == own[near[q], t]
+                    rank[q] = np.where(hit, np.minimum(rank[q], order[at]), rank[q])
+                    at = np.minimum(np.searchsorted(names, visits[q, t]), len(names) - 1)
+                    seen[q] += np.where(names[at] == visits[q, t], sizes[at], 0)
+            needed = int(np.quantile(rank.ravel(), target, method="higher")) + 1
+            if needed > h.probes:
+                continue  # out of reach
+            h.probes = needed
+            share = float(np.minimum(seen[:, :needed].sum(1) / len(v), 1).mean())
+            if share < least:
+                found, least = h, share
+    return found
 
 
 def fit(rows: DataFrame, count: int, norm: float, dimensions: int, k_near: int, target: float = TARGET, seed: int = 3) -> Hashing:
     """Projections for ``count`` vectors of norms up to ``norm``, and the number of probes measured on the sample."""
-    k = 0 if count <= EXHAUSTIVE else min(MOST_PROJECTIONS, max(1, int(np.ceil(np.log2(count / BUCKET) / 1.8))))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if k else 0).select("vec_id", "embedding").toArrow()
+    k = max(1, int(np.ceil(np.log2(max(count, 1) / BUCKET) / 1.8)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
     v = _matrix(sample.column("embedding"), dimensions).astype(np.float64) if sample.num_rows else np.zeros((0, dimensions))
     return measured(v, norm, k, k_near, target, seed)
 
@@ -186,14 +208,13 @@ def search(rows: DataFrame, is_query, k_near: int = 20, target: float = TARGET,
 
     index = store(rows.mapInArrow(placed, "t int, bucket long, vec_id long, embedding array<double>"), folder, "index")
     buckets = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups, blocks = max(1, -(-count * tables // GROUP)), max(1, -(-queries.count() // QUERIES))
     group = F.pmod(F.xxhash64("t", "bucket", "cell"), F.lit(groups)).cast("int").alias("g")
     name = F.xxhash64("t", "bucket", "cell").alias("place")
     cell = F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int")
     vectors = index.join(buckets, ["t", "bucket"]).withColumn("cell", cell).select(group, name, "vec_id", "embedding")
-    vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    own = queries.select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    own = queries.select(F.col("vec_id").alias("query_id"), "embedding")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -230,9 +251,11 @@ def search(rows: DataFrame, is_query, k_near: int = 20, target: float = TARGET,
     def best(probe: DataFrame) -> DataFrame:
         """The k_near best of each query among the buckets that ``probe`` (query_id, t, bucket, cells) visits."""
         probe = probe.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("query_id", group, name)
-        asked = probe.groupBy("query_id", "g").agg(F.collect_set("place").alias("places")).join(own, "query_id")
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        found = asked.groupBy("g", "block").cogroup(vectors.groupBy("g", "block")).applyInArrow(meet, schema)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+        asked = probe.groupBy("query_id", "g").agg(F.collect_set("place").alias("places")).join(own, "query_id").withColumn("block", block)
+        wanted = probe.select("g", "place", block).distinct()  # a vector goes to the blocks that ask for its place
+        sent = vectors.join(wanted, ["g", "place"])
+        found = asked.groupBy("g", "block").cogroup(sent.groupBy("g", "block")).applyInArrow(meet, schema)
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k_near).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,9 +22,22 @@ def _local() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below ``spark.checkpoint.dir``; where that is unset (local runs and tests), below one of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local()
-    return f"{base.rstrip('/')}/postmark-{uuid.uuid4().hex}"
+    """A new folder path, with its file system's scheme, below ``spark.checkpoint.dir``; only where all runs in one process (tests) may that be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/postmark-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def resolved(spark: SparkSession, folder: str) -> str:
+    """A folder, made if need be, by the name that it has in the file system below views and mounts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return fs.resolvePath(path).toString()
 
 
 def store(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .tables import read, shared_dir
+from .tables import read, resolved, shared_dir
 
 END_ID = 2
 #: Distinct chunks remembered by a worker before it starts afresh; bounds its memory.
@@ -121,7 +121,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), urlparse(uri).path
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def _array(fs: pafs.FileSystem, path: str, dtype) -> np.ndarray:
@@ -225,5 +225,5 @@ def documents(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents through the token files and back."""
-    folder = shared_dir(spark)
+    folder = resolved(spark, shared_dir(spark))
     return documents(write(read(spark, sf_dir, "documents"), folder), folder)

@@ -251,14 +251,32 @@ def test_nearest_vectors_of_a_lonely_query(spark):
         assert got[q] == np.argsort(-s)[:20].tolist()
 
 
-def test_projections_give_way_where_no_move_reaches(monkeypatch):
-    monkeypatch.setattr(ann, "WIDTH", 0.2)  # of the norm: neighbours are many cells apart
+def test_projections_give_way_where_no_move_reaches():
     v = np.random.Generator(np.random.PCG64(7)).normal(size=(2000, 8))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    h = ann.measured(v, 1.0, 5, 20, 0.95)
+    h = ann.measured(v, 1.0, 5, 20, 0.95, widths=(0.2,))  # neighbours are many cells apart
     assert h.k < 5 and h.probes <= 3**h.k
 
 
+def test_probes_are_the_cheapest_moves():
+    rng = np.random.Generator(np.random.PCG64(8))
+    h = ann.Hashing(rng.normal(size=(2, 6, 9)), rng.uniform(0, 1, (2, 6)), 1.0, 1.0)
+    v = rng.normal(size=(5, 8))
+    every = h.visits(v, 3**6)
+    assert (h.visits(v, 40) == every[..., :40]).all() and len(set(every[0, 0].tolist())) == 3**6
+
+
+def test_a_small_share_of_clustered_vectors_is_looked_at():
+    rng = np.random.Generator(np.random.PCG64(9))
+    centres = rng.normal(size=(200, 32))
+    v = centres[rng.integers(200, size=8000)] + 0.2 * rng.normal(size=(8000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    h = ann.measured(v, 1.0, 8, 20, 0.95)
+    own, visits = h.names(np.floor(h.places(v)).astype(np.int64)), h.visits(v[:200], h.probes)
+    share = np.mean([np.any([np.isin(own[:, t], visits[q, t]) for t in range(own.shape[1])], axis=0).mean() for q in range(200)])
+    assert h.k >= 1 and share < 0.2, share
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("other"))
     got = {(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect()}
@@ -280,3 +298,39 @@ def test_registered():
     numbers = {n.split("_")[0] for n in queries.QUERIES}
     assert numbers == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def _without_lines(rows, percent):
+    """The texts that line dedup leaves, by brute force over all pairs of lines."""
+    lines = sorted((d, n, frozenset(line.lower().strip(" \t\r").split(" "))) for d, t in rows for n, line in enumerate((t or "").split("\n")) if line.strip(" \t\r"))
+    bad = {(d, n) for k, (d, n, s) in enumerate(lines) if any(len(s & p) * (100 + percent) >= (len(s) + len(p)) * percent for _, _, p in lines[:k])}
+    return {d: None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (d, n) not in bad) for d, t in rows}
+
+
+def test_pipeline_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels, where=quality._fold() != 0)
+    good = {r["doc_id"] for r in quality.score(docs, model).collect() if r["predicted"] == 1}
+    texts = _without_lines(sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good), linededup.PERCENT)
+    label = _brute_near(list(texts.items()))
+    left = {i: t for i, t in texts.items() if label[i] == i}
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    leaked = {r["doc_id"] for r in decontamination.leaks(rows, bench).collect()}
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in left.items() if i not in leaked}
+    got = {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path, n):
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0)][:n]
+    spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (None, 1)][: n and 2], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "a b")][: n and 2], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == n and all(r["n_tokens"] == 0 for r in out)
