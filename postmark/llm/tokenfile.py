@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +49,17 @@ _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u
 _CHUNK = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 
+#: Texts that can't be cut before every space and line break: where one of them follows white space, or the marker of a text's start occurs.
+_START = "\x01"
+_UNEVEN = "[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \n]|" + _START
+
+
 class Encoder:
-    """The tokenizers library's ids of whole texts, with each distinct chunk given to it once.
+    """The tokenizers library's ids of whole texts, with each distinct piece given to it once.
 
     The vocabulary's cutting rule never joins a non-space to white space after it, so a text may be
-    cut there without a change of its ids. Where white space is single spaces and single line
-    breaks, lines and words are remembered by themselves; other texts are cut into runs of
+    cut there without a change of its ids. Arrow cuts texts before their spaces and line breaks and lists the distinct pieces,
+    so that Python sees only those; texts with longer runs of white space are cut one by one into runs of
     white space with the word that follows.
     """
 
@@ -63,51 +71,47 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.whole: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    @staticmethod
-    def lines(text: str) -> list[str] | None:
-        """The lines of a text that has only single spaces and single breaks between non-spaces, else None."""
-        if "  " in text:
-            return None
-        lines = text.split("\n")
-        return None if any(not x or x[0].isspace() or x[-1].isspace() for x in lines) else lines
-
-    def _fill(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        new = [c for c in chunks if c not in cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]):
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[str, bytes] = {}
+
+    def _fill(self, pieces: list[str], chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 20_000):
+            encoded = self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)
+            for p, e in zip(pieces[i : i + 20_000], encoded, strict=True):
+                self.known[p] = self.packed(e.ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def encode(self, texts: pa.Array | list[str]):
         """Yields the ids of each text as bytes of ``dtype``."""
-        whole, spaced = {"\n"}, set()
-        for t in texts:
-            if (lines := self.lines(t)) is None:
-                whole.update(_CHUNK.findall(t))
-            else:
-                for line in lines:
-                    words = line.split(" ")
-                    whole.add(words[0])
-                    spaced.update(words[1:])
-        if len(self.whole) + len(self.spaced) > REMEMBERED:
-            self.whole.clear()
-            self.spaced.clear()
-        self._fill(self.whole, whole, "")
-        self._fill(self.spaced, spaced, " ")
-        del whole, spaced
-        first, rest, br = self.whole.__getitem__, self.spaced.__getitem__, self.whole["\n"]
-        for t in texts:
-            if (lines := self.lines(t)) is None:
-                yield b"".join(map(first, _CHUNK.findall(t)))
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, _UNEVEN)
+        even = pc.binary_join_element_wise(pa.scalar(_START, pa.large_string()), column.filter(pc.invert(uneven)), pa.scalar("", pa.large_string()))
+        pieces = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
+        named = pieces.flatten().dictionary_encode()
+        names = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [p for p in names if p not in self.known]
+        self._fill(new, [p[1:] if p[:1] == _START else p if p[:1] == "\n" else " " + p for p in new])
+        ids = pa.array([self.known[p] for p in names], pa.large_binary()).take(named.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1][pieces.offsets.to_numpy() - pieces.offsets[0].as_py()] if len(ids) else np.zeros(len(pieces) + 1, np.int64)
+        view, at = memoryview(data) if data is not None else b"", 0
+        for i, odd in enumerate(uneven.to_pylist()):
+            if odd:
+                chunks = _CHUNK.findall(column[i].as_py())
+                # under a name of their own: as a piece, a chunk would get a space before it
+                missing = [c for c in set(chunks) if _START + c not in self.known]
+                self._fill([_START + c for c in missing], missing)
+                yield b"".join([self.known[_START + c] for c in chunks])
             else:
-                out = []
-                for line in lines:
-                    words = line.split(" ")
-                    out.append(first(words[0]) + b"".join(map(rest, words[1:])))
-                yield br.join(out)
+                yield bytes(view[ends[at] : ends[at + 1]])
+                at += 1
 
 
 @lru_cache(2)
@@ -173,11 +177,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     def run(batches):
         e, files = encoder(path), None
         end = np.array([end_id], e.dtype).tobytes()
-        for b in K.slices(batches, limit=16 << 20):
+        for b in K.slices(batches, limit=4 << 20):
             if files is None:
                 files = _Files(folder, TaskContext.get().partitionId())
-            texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            files.add(b.column("doc_id").to_pylist(), [x + end for x in e.encode(texts)], e.dtype.itemsize)
+            files.add(b.column("doc_id").to_pylist(), [x + end for x in e.encode(pc.fill_null(b.column("text"), ""))], e.dtype.itemsize)
         if files is not None:
             files.close()
             yield pa.RecordBatch.from_pydict({"part": [files.name], "docs": [files.docs], "tokens": [files.tokens], "width": [e.dtype.itemsize]})
