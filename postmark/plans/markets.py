@@ -158,7 +158,7 @@ def grid_streets(w):
     return _street(w).select("street_id", F.concat_ws("|", g.kind, g.number, g.letter, g.side).alias("grid"), match.alias("verdict"))
 
 
-@query(f", {_PART} SELECT street_id, a || 'STK' AS stem, regexp_replace(a || 'K', '([A-Z]{2})EK$', '\\1K') AS genitive FROM s")
+@query(f", {_PART} SELECT street_id, a || 'STK' AS stem, regexp_replace(a || 'K', '([A-Z]{{2}})EK$', '\\1K') AS genitive FROM s")
 def possessive_stems(w):
     return _street(w).select("street_id", M.possessive_stem(F.concat("a", F.lit("STKOVA"))).alias("stem"), M.possessive_stem(F.concat("a", F.lit("KA"))).alias("genitive"))
 
