@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postmark.functions import geo
 
 #: The base score by how a street was matched; a fuzzy match scores by its ratio.
-BASE = {"exact": 3.0, "core": 2.6, "suffix": 2.2, "partial": 1.4, "alias": 2.0, "translit": 1.6}
+BASE = {"exact": 3.0, "core": 2.6, "thai": 2.4, "suffix": 2.3, "partial": 2.2, "crf": 2.2, "translit": 2.2, "alias": 2.0}
 #: From this number on ids of points are of volunteered data, not of official tables.
 OPEN_ID = 1_000_000_000
 
@@ -219,7 +219,7 @@ def by_policy(results: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def market_action(level: Column, notes: Column, ambiguous: Column, complete: Column, allowed: Column) -> Column:
-    """ACCEPT, CONFIRM or FIX of a scored result.
+    """ACCEPT, CONFIRM or FIX of a scored result: a short form of its own, with fewer cases than a full market policy has.
 
     No street, or a number that the street surely lacks, is FIX; a premise without ambiguity or conflict is ACCEPT where the official table is complete, or where the policy allows its evidence.
     """

@@ -143,3 +143,10 @@ def test_short_plus_codes_are_recovered(spark):
     df = spark.createDataFrame([("C5RC+6Q", 1.30, 103.83), ("8FVC9G8F+6W", 0.0, 0.0), ("9G8F+6W", 47.4, 8.6), ("none", 1.0, 1.0)], "code string, lat double, lng double")
     got = [r[0] for r in df.select(geo.recover_plus_code(F.col("code"), F.col("lat"), F.col("lng"))).collect()]
     assert got[1] == "8FVC9G8F+6W" and got[2] == "8FVC9G8F+6W" and got[0].endswith("C5RC+6Q") and got[3] is None
+
+
+@pytest.mark.parametrize(("how", "ratio", "want"), [("exact", 100.0, 3.0), ("suffix", 100.0, 2.3), ("partial", 100.0, 2.2), ("fuzzy", 86.0, 1.0), ("fuzzy", 100.0, 2.2)])
+def test_base_score(spark, how, ratio, want):
+    from postmark.operators import scoring
+
+    assert one(spark, scoring.base_score(F.lit(how), F.lit(ratio))) == pytest.approx(want)
