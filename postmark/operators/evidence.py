@@ -72,6 +72,12 @@ def ambiguous(ranked: DataFrame, gap: float = 0.6, metres: float = 1000.0, key:
     return rows.groupBy(key).agg(F.max(close).alias("ambiguous"))
 
 
+def rival(top: Column, gap: float = 0.6, metres: float = 1000.0) -> Column:
+    """``ambiguous`` of one list: its first four rows (street_id, score, metres) in order."""
+    best = top[0]
+    return F.exists(F.slice(top, 2, 3), lambda x: (x.street_id != best.street_id) & (best.score - x.score < gap) & (x.metres > metres))
+
+
 def accept_policy(cases: DataFrame, n: int = 25, ok: float = 0.95, wilson: float = 0.88, gross: float = 0.02) -> DataFrame:
     """(market, key, n, ok, lower, gross) of the evidence keys good enough to accept; ``cases`` has market, key, ok and gross flags."""
     g = cases.groupBy("market", "key").agg(F.count("*").alias("n"), rate(F.col("ok")).alias("ok"), wilson_lower(F.sum(F.col("ok").cast("double")), F.count("*")).alias("lower"), rate(F.col("gross")).alias("gross"))
