@@ -87,19 +87,21 @@ def combine(by_reference: Column, by_text: Column) -> Column:
 
 def homonyms_near(answers: DataFrame, streets: DataFrame) -> DataFrame:
     """Adds ``twin``: whether another street of the answer's key lies within the twin distances. ``streets`` (street_id, key, slat, slng)."""
-    return _flag(answers, answers.join(streets, "key"), "twin", lambda m: (m > TWIN_M[0]) & (m <= TWIN_M[1]))
+    places = streets.select("key", "slat", "slng").distinct()
+    return _flag(answers, places, ["key"], "twin", lambda m: (m > TWIN_M[0]) & (m <= TWIN_M[1]))
 
 
 def elsewhere(answers: DataFrame, streets: DataFrame, points: DataFrame) -> DataFrame:
     """Adds ``elsewhere``: whether a street of the answer's key farther off has its number, too. ``points`` (street_id, nkey)."""
-    j = answers.join(streets, "key").join(points.select("street_id", "nkey").distinct(), ["street_id", "nkey"])
-    return _flag(answers, j, "elsewhere", lambda m: m > ELSEWHERE_M)
+    places = streets.join(points.select("street_id", "nkey").distinct(), "street_id").select("key", "nkey", "slat", "slng").distinct()
+    return _flag(answers, places, ["key", "nkey"], "elsewhere", lambda m: m > ELSEWHERE_M)
 
 
-def _flag(answers: DataFrame, joined: DataFrame, name: str, holds) -> DataFrame:
-    metres = geo.haversine(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-    hit = joined.where(holds(metres)).select("id").distinct().withColumn(name, F.lit(True))
-    return answers.join(hit, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def _flag(answers: DataFrame, places: DataFrame, by: list[str], name: str, holds) -> DataFrame:
+    """Adds a flag: whether one of the ``places`` (the columns ``by``, slat, slng) holds; each distinct answer is compared once with each distinct place."""
+    metres, at = geo.haversine(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng")), [*by, "lat", "lng"]
+    hit = answers.select(*at).distinct().join(places, by).where(holds(metres)).select(*at).distinct().withColumn(name, F.lit(True))
+    return answers.join(hit, at, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def pilot_position(lat: Column, lng: Column, population: Column, boxes: list[tuple[float, float, float, float]]) -> Column:
