@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's set is its distinct words (lower case, cut at spaces; white space at the line's ends doesn't count). Words are ordered by
-rarity: all words of all texts are counted in ``BUCKETS`` buckets of their hash, and the rank of its bucket's count is what a word sorts by, then
+rarity: all words of all texts are counted in ``2 ** RANK_BITS`` buckets of their hash, and the magnitude of its bucket's count is what a word sorts by, then
 its hash. So the driver gathers the same few counts whatever the vocabulary, and a word's place is one look-up. Any two
 lines with Jaccard similarity of ``percent`` / 100 or more share a word among the first
 n - ceil(percent * n / 100) + 1 of this order (prefix filter); the length filter and the
@@ -21,6 +21,8 @@ wholly equal rows stand or fall together.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,6 +32,8 @@ from .tables import drop, read, release, shared_dir, store
 PERCENT = 85
 #: Word counts are kept for 2 ** RANK_BITS buckets of the hash; this bounds what the driver gathers and each task holds.
 RANK_BITS = 16
+#: Steps of a count's magnitude for each doubling; they fit into so many bits up to 2 ** 42 words. Every plan prints all ranks, so they are kept short.
+STEPS, STEP_BITS = 3, 7
 _LAST = (1 << 63) - 1
 
 
@@ -57,22 +61,21 @@ def _bucket(hashed):
 
 
 def ranks(docs: DataFrame):
-    """An array Column: for each bucket of word hashes the rank of its count over all texts (0 for the rarest) in the upper bits of a long."""
+    """An array Column: for each bucket of word hashes the magnitude of its count over all texts (0 for none), in ``STEPS`` to the doubling."""
     words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = {r["b"]: r["n"] for r in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
-    place = {b: k for k, b in enumerate(sorted(range(1 << RANK_BITS), key=lambda b: (counts.get(b, 0), b)))}
-    said = ",".join(str(place[b] << (63 - RANK_BITS)) for b in range(1 << RANK_BITS))
+    said = ",".join(str(min(int(STEPS * math.log2(1 + counts.get(b, 0))), (1 << STEP_BITS) - 1)) for b in range(1 << RANK_BITS))
     return F.split(F.lit(said), ",").cast("array<bigint>")  # folded to one literal when the plan is made
 
 
 def _ordered(line, ranked):
-    """The distinct words as longs that sort by rarity: the rank of the bucket, then as many bits of the hash as are left."""
+    """The distinct words as longs that sort by rarity: the magnitude of the bucket's count, then as many bits of the hash as are left."""
 
-    def key(w):
-        h = F.xxhash64(w)
-        return F.get(ranked, _bucket(h).cast("int")).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1))
+    def key(h):
+        rank = F.get(ranked, _bucket(h).cast("int"))
+        return F.shiftleft(rank, 63 - STEP_BITS).bitwiseOR(F.shiftrightunsigned(h, STEP_BITS + 1))
 
-    return F.sort_array(F.array_distinct(F.transform(F.split(line, " "), key)))
+    return F.sort_array(F.transform(_codes(line), key))
 
 
 def _name():

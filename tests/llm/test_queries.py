@@ -131,6 +131,11 @@ def test_line_dedup(spark, docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_ranks_stay_short_in_plans(spark, docs):
+    sets = linededup.entries(docs, linededup.ranks(docs), linededup.PERCENT)
+    assert len(sets._jdf.queryExecution().toString()) < 1_000_000  # the driver keeps such texts for each step
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (9, 0, 0), (6, 1, None), (None, 1, 0), (7, None, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
