@@ -15,7 +15,6 @@ from postmark.functions import text as T
 from postmark.operators import parsing, recall
 from postmark.operators.lineage import cut
 
-_ENTITIES = "array<struct<eid:bigint,blk:string,road:string,road_key:string,postal:string,buildings:array<string>>>"
 _ENTITY = ("eid", "blk", "road", "road_key", "postal", "buildings")
 
 
@@ -28,7 +27,17 @@ def reference(rows: DataFrame) -> DataFrame:
     e = rows.where("blk is not null and road is not null and upper(trim(blk)) <> 'NIL' and upper(trim(road)) <> 'NIL' and trim(blk) <> '' and trim(road) <> ''")
     e = e.select(blk.alias("blk"), road.alias("road"), F.trim("postal").alias("postal"), F.filter(F.split(F.coalesce("buildings", F.lit("")), r"\|"), lambda b: (b != "") & (b != "NIL")).alias("buildings"), "lat", "lng")
     e = e.groupBy("blk", "road", "postal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("buildings")))).alias("buildings"), F.min("lat").alias("lat"), F.min("lng").alias("lng"))
-    return e.withColumn("road_key", T.match_key("road")).withColumn("eid", F.xxhash64("blk", "road", "postal"))
+    return T.with_key(e.withColumn("eid", F.xxhash64("blk", "road", "postal")), "road", "road_key")
+
+
+def _buildings(entities: DataFrame) -> DataFrame:
+    """(eid, blk, road_key, b): the key of each building of each entity."""
+    return T.with_key(entities.select("eid", "blk", "road_key", F.explode("buildings").alias("__b")), "__b", "b").drop("__b").distinct()
+
+
+def _groups(entities: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The entities of each key: how many (``name`` with _n) and the ids of the first five (with _five)."""
+    return entities.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), F.slice(F.array_sort(F.collect_list("eid")), 1, 5).alias(f"{name}_five"))
 
 
 def _roads(spans: DataFrame, entities: DataFrame, fuzzy: bool) -> DataFrame:
@@ -55,7 +64,7 @@ def _corrected(variants: DataFrame, entities: DataFrame) -> DataFrame:
     """Word lists with words unknown to the reference replaced by the nearest road word, beside the lists as they are."""
     vocabulary = entities.select("eid", F.explode(F.split("road_key", " ")).alias("word")).where(r"word rlike '^[A-Z]{3,}$'").groupBy("word").agg(F.count("*").alias("freq"))
     types = entities.sparkSession.createDataFrame([(w, s) for w, s in T.TYPE_WORDS.items()], "full string, short string")
-    known = vocabulary.select("word").unionByName(entities.select(F.explode("buildings").alias("b")).select(F.explode(F.split(T.match_key("b"), " ")).alias("word"))).distinct()
+    known = vocabulary.select("word").unionByName(entities.select(F.explode("buildings").alias("b")).distinct().select(F.explode(F.split(T.match_key("b"), " ")).alias("word"))).distinct()
     words = variants.select("id", "v", "toks", F.posexplode("toks").alias("i", "word"))
     odd = words.select("word").distinct().where(r"word rlike '^[A-Z]{4,}$'").join(known, "word", "left_anti")
     spelt = vocabulary.unionByName(types.select(F.col("full").alias("word"), F.lit(1 << 40).alias("freq"))).groupBy("word").agg(F.max("freq").alias("freq"))
@@ -101,35 +110,51 @@ def hypotheses(parsed: DataFrame, entities: DataFrame, fuzzy: bool = True) -> Da
     return cut(h.withColumn("steal", steal)).drop("road", "roads", "spans", "cover", "all")
 
 
-def _best(h: DataFrame, parsed: DataFrame, entities: DataFrame) -> DataFrame:
-    """The best hypothesis of each input with its agreeing entities (br) and those of its postcode (p)."""
-    e = entities.select(F.struct(*_ENTITY).alias("e"))
-    by_road = e.groupBy(F.col("e.blk").alias("blk"), F.col("e.road_key").alias("road_key")).agg(F.array_sort(F.collect_list("e")).alias("br"))
-    by_postal = e.groupBy(F.col("e.postal").alias("postal")).agg(F.array_sort(F.collect_list("e")).alias("p"))
-    names = entities.select("eid", "blk", "road_key", F.explode("buildings").alias("b")).select("eid", "blk", "road_key", T.match_key("b").alias("name")).distinct()
+#: What an input's hypothesis is held against, and the columns of an entity that it must share: br is short for block and road, p for postcode.
+_HELD = {"br": ("blk", "road_key"), "p": ("postal",), "on": ("postal", "road_key"), "pb": ("postal", "blk"), "both": ("postal", "blk", "road_key")}
+
+
+def _best(h: DataFrame, asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """The best hypothesis of each (g, id, postal): ranked by counts of entities, which grow with nothing, not by lists of them."""
+    names = _buildings(entities).withColumnRenamed("b", "name")
     whole = names.groupBy("name").agg(F.countDistinct("eid").alias("whole_n"), F.first("blk").alias("whole_blk"))
     roads = entities.select(F.col("road_key").alias("name")).distinct().withColumn("is_road", F.lit(True))
-    h = h.join(by_road, ["blk", "road_key"], "left").join(parsed.select("id", "postal"), "id").join(by_postal, "postal", "left")
-    h = h.withColumn("name", F.array_join("toks", " ")).join(whole, "name", "left").join(roads, "name", "left")
-    h = h.withColumns({c: F.coalesce(c, F.array().cast(_ENTITIES)) for c in ("br", "p")})
-    both = F.filter("br", lambda x: F.exists("p", lambda y: y.eid == x.eid))
-    in_p = F.exists("p", lambda y: y.road_key == F.col("road_key"))
+    count = lambda name: entities.groupBy(*_HELD[name]).agg(F.count("*").alias(f"{name}_n"))
+    x = h.withColumn("name", F.array_join("toks", " ")).join(whole, "name", "left").join(roads, "name", "left").join(count("br"), list(_HELD["br"]), "left")
     unique = F.col("road_key").isNull() & (F.size("toks") > 0) & F.col("is_road").isNull() & (F.col("whole_n") == 1) & (F.col("blk").isNull() | (F.col("whole_blk") == F.col("blk")))
-    unique = F.coalesce(unique, F.lit(False))
-    agree = ((F.size("br") > 0) & ~((F.size("p") > 0) & ~F.col("exact") & ~in_p)) | unique | (F.col("road_key").isNull() & F.col("blk").isNotNull() & F.exists("p", lambda y: y.blk == F.col("blk")))
-    n = F.col("end") - F.col("start")
+    x = x.select("id", "v", "o", "rank", "blk", "road_key", "exact", "steal", "dominated", "score", F.size("toks").alias("words"), (F.col("end") - F.col("start")).alias("n"), F.coalesce(unique, F.lit(False)).alias("unique"), "br_n")
+    x = x.join(asked, "id")
+    for name in ("p", "on", "pb", "both"):
+        x = x.join(count(name), list(_HELD[name]), "left")
+    any_of = lambda name: F.coalesce(F.col(f"{name}_n") > 0, F.lit(False))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    agree = (any_of("br") & ~(any_of("p") & ~F.col("exact") & ~any_of("on"))) | F.col("unique") | (F.col("road_key").isNull() & any_of("pb"))
     order = F.struct(
-        flag(F.size(both) > 0), flag(~F.col("steal")), flag(~F.col("dominated")), flag(agree), F.when(unique, F.size("toks")).otherwise(n), flag(in_p), flag(F.col("exact")),
-        flag(unique), F.col("score"), n, flag(F.col("blk").isNotNull()), -F.col("v"), -F.col("o"), -F.col("rank"),
+        flag(any_of("both")), flag(~F.col("steal")), flag(~F.col("dominated")), flag(agree), F.when(F.col("unique"), F.col("words")).otherwise(F.col("n")), flag(any_of("on")), flag(F.col("exact")),
+        flag(F.col("unique")), F.col("score"), F.col("n"), flag(F.col("blk").isNotNull()), -F.col("v"), -F.col("o"), -F.col("rank"),
     )
-    kept = F.struct("v", "blk", "road_key", "exact", "toks", "leftover", "br", "p", both.alias("both"), F.col("at").alias("at"))
-    return h.groupBy("id").agg(F.max_by(kept, order).alias("h"))
+    best = x.groupBy("g", "id", "postal").agg(F.max_by(F.struct("v", "o", "rank"), order).alias("h")).select("g", "id", "postal", "h.*")
+    return best.join(h.select("id", "v", "o", "rank", "blk", "road_key", "exact", "toks", "leftover"), ["id", "v", "o", "rank"])
+
+
+def _picked(d: DataFrame, entities: DataFrame) -> DataFrame:
+    """(g, named_n, named_one): of the entities that each row of (g, kind, postal, blk, road_key, leftover) may pick, those that the leftover words name.
+
+    Entities that share a key and have the same buildings are named together, so that each distinct list of buildings is looked at once.
+    """
+    key = lambda name: F.array(F.lit(name), *(F.col(c) for c in _HELD[name]))
+    kinds = ("br", "p", "on", "both")
+    asked = d.select("g", F.coalesce(*(F.when(F.col("kind") == k, key(k)) for k in kinds)).alias("key"), "leftover")
+    held = entities.where("size(buildings) > 0").select("eid", "buildings", F.explode(F.array(*(key(k) for k in kinds))).alias("key"))
+    lists = held.groupBy("key", "buildings").agg(F.count("*").alias("n"), F.min("eid").alias("one"))
+    found = asked.select("key", "leftover").distinct().join(lists, "key").where(_named(F.struct("buildings"), F.col("leftover")))
+    found = found.groupBy("key", "leftover").agg(F.sum("n").alias("named_n"), F.min("one").alias("named_one"))
+    return asked.join(found, ["key", "leftover"]).select("g", "named_n", "named_one")
 
 
 def _named(entity: Column, words: Column) -> Column:
     """Whether the words are all among, or hold all, words of one of the entity's buildings (a token-set ratio of 100)."""
-    return F.exists(entity.buildings, lambda b: (F.size(F.array_except(words, F.split(b, " "))) == 0) | (F.size(F.array_except(F.split(b, " "), words)) == 0))
+    return F.exists(entity["buildings"], lambda b: (F.size(F.array_except(words, F.split(b, " "))) == 0) | (F.size(F.array_except(F.split(b, " "), words)) == 0))
 
 
 def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None = None, strictness: str = "BALANCED", fuzzy: bool = True, assume_complete: bool = True, text: str = "text", key: str = "id") -> DataFrame:
@@ -139,14 +164,27 @@ def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None =
     once, so repeated ids and texts each keep their rows.
     """
     said = F.coalesce(F.col(text), F.lit(""))
-    parsed = cut(parsing.parse(inputs.select(said.alias("text")).distinct().select(F.xxhash64("text").alias("id"), "text")))
-    best = cut(_best(hypotheses(parsed, entities, fuzzy), parsed, entities))
-    d = parsed.join(best, "id", "left").withColumns({c: F.col(f"h.{c}") for c in ("blk", "road_key", "exact", "toks", "leftover", "br", "p", "both")})
-    empty = F.array().cast(_ENTITIES)
-    d = d.withColumns({"br": F.coalesce("br", empty), "p": F.coalesce("p", empty), "both": F.coalesce("both", empty), "toks": F.coalesce("toks", F.array().cast("array<string>")), "leftover": F.coalesce("leftover", F.array().cast("array<string>"))})
+    spark = entities.sparkSession
+    # the number is given, as adaptive execution would deal the few bytes read to few tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = inputs.select(said.alias("text")).distinct().repartition(parts, "text")
+    # readings depend on the words alone (id), which many texts share; what is picked depends on the postcode too (g)
+    words = F.array_join(F.transform("variants", lambda x: F.array_join(x, " ")), "|")  # a hash of lists skips nulls and doesn't see where a list ends
+    parsed = parsing.parse(texts).withColumn("id", F.xxhash64(words, F.coalesce("block_marked", F.lit(""))))
+    parsed = cut(parsed.withColumn("g", F.xxhash64("id", F.coalesce("postal", F.lit("")))))
+    asked = parsed.select("g", "id", "postal").distinct()
+    h = hypotheses(parsed.select("id", "variants", "block_marked").dropDuplicates(["id"]), entities, fuzzy)
+    d = cut(asked.join(_best(h, asked, entities).drop("id", "postal"), "g", "left"))
+    d = d.withColumns({"toks": F.coalesce("toks", F.array().cast("array<string>")), "leftover": F.coalesce("leftover", F.array().cast("array<string>"))})
     # roads: how many entities, the only one, the first five and the three nearest numbers
     d = d.join(entities.groupBy("road_key").agg(F.count("*").alias("road_n"), F.min("eid").alias("road_one")), "road_key", "left")
-    names = entities.select("eid", "blk", F.explode("buildings").alias("b")).select("eid", "blk", T.match_key("b").alias("b")).distinct()
+    for name, keys in _HELD.items():
+        d = d.join(_groups(entities, name, *keys), list(keys), "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
+    # blocks of the postcode and road that have the input's number and a letter
+    bare = F.regexp_replace("blk", "[A-Z]+$", "")
+    letters = _groups(entities.where(bare != F.col("blk")).select("eid", "postal", "road_key", bare.alias("blk")), "letter", "postal", "road_key", "blk")
+    d = d.join(letters, ["postal", "road_key", "blk"], "left").withColumn("letter_n", F.when(F.col("blk").rlike("^[0-9]+$"), F.col("letter_n")))
+    names = _buildings(entities).drop("road_key")
     whole = names.groupBy("b").agg(F.array_sort(F.collect_set(F.struct("eid", "blk"))).alias("named"))
     d = d.withColumn("b", F.array_join("leftover", " ")).join(whole, "b", "left")
     lists = d.where("named is null and road_key is null and size(leftover) > 0").select("leftover").distinct()
@@ -157,23 +195,26 @@ def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None =
     same_blk = F.filter(pois, lambda x: x.blk == F.col("blk"))
     d = d.withColumn("pois", F.when(F.col("blk").isNotNull() & (F.size(same_blk) > 0), same_blk).otherwise(pois))
     # ---- decision: the branch first, then what it picks
-    has_p, on_p = F.size("p") > 0, F.filter("p", lambda y: y.road_key == F.col("road_key"))
-    pick = lambda xs: F.when(F.size(xs) == 1, xs[0].eid).otherwise(F.when(F.size(F.filter(xs, lambda x: _named(x, F.col("leftover")))) == 1, F.filter(xs, lambda x: _named(x, F.col("leftover")))[0].eid))
-    bare = lambda c: F.regexp_replace(c, "[A-Z]+$", "")
-    letter = F.filter(on_p, lambda y: F.col("blk").rlike("^[0-9]+$") & (y.blk != F.col("blk")) & (bare(y.blk) == F.col("blk")))
-    by_blk = F.filter("p", lambda y: y.blk == F.col("blk"))
+    some = lambda name: F.col(f"{name}_n") > 0
+    one = lambda name: F.col(f"{name}_n") == 1
+    first = lambda name: F.get(f"{name}_five", F.lit(0))
     road, blk = F.col("road_key").isNotNull(), F.col("blk").isNotNull()
     branch = (
-        F.when(F.size("both") > 0, "agree").when((F.size("br") > 0) & has_p & (F.size(letter) == 1), "letter").when((F.size("br") > 0) & has_p & (F.size(on_p) > 0), "block_conflict")
-        .when((F.size("br") > 0) & has_p, "mismatch").when(F.size("br") > 0, "block_road").when(has_p & ~road & ~blk, "postal_only").when(has_p & road & (F.size(on_p) > 0) & ~blk, "postal_road")
-        .when(has_p & road & (F.size(on_p) == 1) & F.lit(strictness != "STRICT"), "replace_block").when(has_p & road, "street_mismatch").when(has_p, "postal_block")
+        F.when(some("both"), "agree").when(some("br") & some("p") & one("letter"), "letter").when(some("br") & some("p") & some("on"), "block_conflict")
+        .when(some("br") & some("p"), "mismatch").when(some("br"), "block_road").when(some("p") & ~road & ~blk, "postal_only").when(some("p") & road & some("on") & ~blk, "postal_road")
+        .when(some("p") & road & one("on") & F.lit(strictness != "STRICT"), "replace_block").when(some("p") & road, "street_mismatch").when(some("p"), "postal_block")
         .when(road & blk, "premise" if assume_complete else "unverified").when(road, "road_only").when(F.size("pois") == 1, "poi").when(F.size("pois") > 1, "pois").otherwise("nothing")
     )
-    d = cut(d.withColumn("branch", branch))
+    d = d.withColumn("branch", branch)
     at = lambda *names: F.col("branch").isin(*names)
+    # several are left to pick from
+    kind = F.when(at("agree") & ~one("both"), "both").when(at("mismatch", "block_road") & ~one("br"), "br").when(at("postal_only") & ~one("p"), "p").when(at("postal_road") & ~one("on"), "on")
+    d = cut(d.withColumn("kind", kind))
+    d = d.join(_picked(d.where("kind is not null"), entities), "g", "left")
+    pick = lambda name: F.when(one(name), first(name)).when(F.col("named_n") == 1, F.col("named_one"))
     eid = (
-        F.when(at("agree"), F.coalesce(pick(F.col("both")), F.get("both", F.lit(0)).eid)).when(at("letter"), F.get(letter, F.lit(0)).eid).when(at("mismatch", "block_road"), pick(F.col("br"))).when(at("postal_only"), pick(F.col("p")))
-        .when(at("postal_road"), pick(on_p)).when(at("replace_block"), F.get(on_p, F.lit(0)).eid).when(at("postal_block") & (F.size(by_blk) == 1), F.get(by_blk, F.lit(0)).eid)
+        F.when(at("agree"), F.coalesce(pick("both"), first("both"))).when(at("letter"), first("letter")).when(at("mismatch", "block_road"), pick("br")).when(at("postal_only"), pick("p"))
+        .when(at("postal_road"), pick("on")).when(at("replace_block"), first("on")).when(at("postal_block") & one("pb"), first("pb"))
         .when(at("road_only") & (F.col("road_n") == 1), F.col("road_one")).when(at("poi"), F.get("pois", F.lit(0)).eid)
     )
     d = d.withColumn("eid", eid)
@@ -183,7 +224,13 @@ def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None =
         .when(at("mismatch", "street_mismatch") | (at("postal_block") & none), "POSTCODE_STREET_MISMATCH").when(at("block_road") & code, "POSTCODE_NOT_FOUND").when(at("postal_only"), "POSTCODE_ONLY")
         .when(at("premise"), "PREMISE_NOT_FOUND").when(at("unverified"), "PREMISE_UNVERIFIED_LOW_COVERAGE").when(at("road_only") & none, "MISSING_PREMISE").when(at("poi"), "BUILDING_NAME_ONLY").when(at("nothing"), "NO_MATCH")
     )
-    d = cut(d.withColumn("why", why)).join(entities.select(*(F.col(c).alias(f"e_{c}") for c in _ENTITY)), F.col("eid") == F.col("e_eid"), "left")
+    both_lists = F.concat(F.coalesce("br_five", F.array().cast("array<bigint>")), F.coalesce("on_five", F.array().cast("array<bigint>")))
+    listed = F.when(at("block_conflict"), both_lists).when(at("street_mismatch", "postal_block", "postal_only"), F.col("p_five")).when(at("mismatch", "block_road"), F.col("br_five")).when(at("postal_road"), F.col("on_five"))
+    nothing = F.array().cast("array<bigint>")
+    d = d.withColumns({"why": why, "candidates": F.when(none, F.coalesce(F.slice(listed, 1, 5), F.transform(F.slice("pois", 1, 5), lambda x: x.eid), nothing)).otherwise(nothing)})
+    d = d.select("g", "blk", "road_key", "exact", "leftover", "branch", "eid", "why", "candidates")
+    d = parsed.select("g", "text", "postal", "zero_restored", "unit_floor", "unit_no", "unit_raw").join(d, "g", "left")
+    d = cut(d).join(entities.select(*(F.col(c).alias(f"e_{c}") for c in _ENTITY)), F.col("eid") == F.col("e_eid"), "left")
     # ---- statuses of the chosen entity's components
     poi = at("poi")
     premise = F.when(~blk, "inferred").when(F.col("blk") == F.col("e_blk"), "confirmed").otherwise("replaced")
@@ -221,11 +268,9 @@ def validate(inputs: DataFrame, entities: DataFrame, floors: DataFrame | None =
         F.when(has & asks & ~too_high, "UNIT_MISSING_MULTI_UNIT_BUILDING"),
     ))
     shown = F.when(has, F.concat_ws(" ", "e_blk", "e_road", "e_postal"))
-    picked = F.when(at("block_conflict"), F.concat("br", on_p)).when(at("street_mismatch", "postal_block", "postal_only"), F.col("p")).when(at("mismatch", "block_road"), F.col("br")).when(at("postal_road"), on_p)
-    candidates = F.when(none, F.coalesce(F.transform(F.slice(picked, 1, 5), lambda x: x.eid), F.transform(F.slice("pois", 1, 5), lambda x: x.eid), F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>"))
     unit_text = F.when(F.col("unit_no").isNotNull(), F.concat(F.lit("#"), "unit_floor", F.lit("-"), "unit_no")).when(unit, F.concat(F.lit("Level "), F.regexp_replace("unit_floor", "^0(?=.)", "")))
     out = d.select(
-        F.col("text").alias("__text"), action.alias("action"), "eid", shown.alias("address"), unit_text.alias("unit"), reasons.alias("reasons"), F.when(has, F.struct("premise", "route", F.col("postcode").alias("postal"))).alias("status"), candidates.alias("candidates"),
+        F.col("text").alias("__text"), action.alias("action"), "eid", shown.alias("address"), unit_text.alias("unit"), reasons.alias("reasons"), F.when(has, F.struct("premise", "route", F.col("postcode").alias("postal"))).alias("status"), "candidates",
     )
     kept = inputs if len(inputs.columns) > 2 else inputs.select(key, text)
     joined = kept.join(out, said == F.col("__text"), "left").drop("__text")

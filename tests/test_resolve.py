@@ -94,3 +94,31 @@ def test_units_and_postcodes(spark, text, floor, unit, postal):
     r = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()
     assert (r["unit_floor"], r["unit_no"], r["postal"]) == (floor, unit, postal)
     assert "REPUBLIC" not in [w for v in r["variants"] for w in v]
+
+
+def test_readings_and_ranks_carry_no_lists_of_entities(spark, monkeypatch):
+    """Entities of one block and road, or of one postcode, grow with the reference: steps keep counts of them and the first few ids."""
+    kept = []
+    monkeypatch.setattr(resolve, "cut", lambda df: kept.append(df.schema.simpleString()) or df.localCheckpoint())
+    rows = [("5", "RED ROAD", f"{100000 + k}", "", 1.0, 103.0) for k in range(40)]
+    entities = resolve.reference(spark.createDataFrame(rows, "blk string, road string, postal string, buildings string, lat double, lng double"))
+    got = resolve.validate(spark.createDataFrame([(1, "5 Red Road"), (2, "5 Red Road 100007")], "id long, text string"), entities).collect()
+    assert {r["id"]: (r["address"], len(r["candidates"])) for r in got} == {1: (None, 5), 2: ("5 RED ROAD 100007", 0)}
+    assert kept and not [s for s in kept if "postal:string,buildings:array<string>>>" in s]
+
+
+def test_a_word_is_read_once():
+    from postmark.functions import text as T
+
+    said = str(T.match_key("road")._jc)
+    assert said.count("AVENUE:AVE") <= 3, said.count("AVENUE:AVE")
+
+
+def test_names_pick_among_entities_of_one_key(spark):
+    rows = [("5", "RED ROAD", "100001", "ALPHA PLAZA"), ("5", "RED ROAD", "100002", "BETA PLAZA"), ("5", "RED ROAD", "100003", "BETA PLAZA"), ("6A", "RED ROAD", "100004", "")]
+    entities = resolve.reference(spark.createDataFrame([(*r, 1.0, 103.0) for r in rows], "blk string, road string, postal string, buildings string, lat double, lng double"))
+    texts = ["5 Red Road Alpha Plaza", "5 Red Road Beta Plaza", "Red Road 5", "Blk 5 Red Road", "6 Red Road 100004", "100003", "Red Road Blk 5 100002"]
+    got = {r["id"]: r for r in resolve.validate(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), entities).collect()}
+    shown = [got[k]["address"] for k in range(len(texts))]
+    assert shown == ["5 RED ROAD 100001", None, None, None, "6A RED ROAD 100004", "5 RED ROAD 100003", "5 RED ROAD 100002"]
+    assert [len(got[k]["candidates"]) for k in range(len(texts))] == [0, 3, 3, 3, 0, 0, 0]
