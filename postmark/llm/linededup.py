@@ -72,7 +72,7 @@ def _ordered(line, ranked):
     """The distinct words as longs that sort by rarity: the magnitude of the bucket's count, then as many bits of the hash as are left."""
 
     def key(h):
-        rank = F.get(ranked, _bucket(h).cast("int"))
+        rank = F.coalesce(F.get(ranked, _bucket(h).cast("int")), F.lit(0).cast("long"))  # never null, and longs without nulls are sorted unboxed
         return F.shiftleft(rank, 63 - STEP_BITS).bitwiseOR(F.shiftrightunsigned(h, STEP_BITS + 1))
 
     return F.sort_array(F.transform(_codes(line), key))

@@ -136,6 +136,11 @@ def test_line_ranks_stay_short_in_plans(spark, docs):
     assert len(sets._jdf.queryExecution().toString()) < 1_000_000  # the driver keeps such texts for each step
 
 
+def test_line_words_are_sorted_as_plain_longs(spark, docs):
+    ordered = docs.select(linededup._ordered(F.col("text"), linededup.ranks(docs)).alias("codes"))
+    assert not ordered.schema["codes"].dataType.containsNull  # arrays that may hold nulls are sorted boxed, by a comparator
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0), (9, 0, 0), (6, 1, None), (None, 1, 0), (7, None, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
